@@ -78,7 +78,10 @@ def level_rank(level: Column) -> Column:
     """3 EXACT, 2 NEAR_DUPLICATE, 1 PARTIAL, 0 NONE, read without regard to case, blanks and the mark between words; null
     for anything else."""
     plain = F.upper(F.regexp_replace(level, r"[\s ﻿_\-]+", ""))
-    return F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), plain)
+    rank = F.lit(None).cast("int")
+    for name, value in RANK.items():
+        rank = F.when(plain == name, value).otherwise(rank)
+    return rank
 
 
 def strongest_hits(hits: DataFrame, n: int = 3) -> DataFrame:
