@@ -54,7 +54,7 @@ def level_rank(containment: Column, exact: Column, at: Thresholds) -> Column:
 
 
 def level_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, LEVELS)), rank + 1)
+    return F.get(F.array(*map(F.lit, LEVELS)), rank)
 
 
 @dataclass

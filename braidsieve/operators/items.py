@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidsieve.operators.numbering import running_before
+
 QUESTION, QUESTION_CHOICES = "question", "question_choices"
 
 
@@ -44,18 +46,11 @@ def within_budget(docs: DataFrame, max_docs: int | None = None, max_tokens: int
     """The first documents by doc_key, until a budget is used up: a document is taken while the tokens of those before it are
     below the budget, so the one that crosses it is kept.
 
-    The running sum needs no single task: documents are summed per range of doc_key first, and only the ranges'
-    sums (one row each) are accumulated for all."""
+    Only keys and token counts are moved to find the last key; the documents are then filtered by it at the scan."""
     out = docs
     if max_tokens is not None:
-        from pyspark.sql import Window as W
-
-        placed = out.repartitionByRange("doc_key").withColumn("part", F.spark_partition_id())
-        sums = placed.groupBy("part").agg(F.sum("tokens").alias("s"))
-        before = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        inside = F.coalesce(F.sum("tokens").over(W.partitionBy("part").orderBy("doc_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        joined = placed.withColumn("inside", inside).join(F.broadcast(before), "part")
-        out = joined.where(F.col("before") + F.col("inside") < max_tokens).drop("part", "before", "inside")
+        last = running_before(docs, "doc_key", F.col("tokens")).where(F.col("before") < max_tokens).agg(F.max("doc_key")).first()[0]
+        out = out.where(F.col("doc_key") <= last if last is not None else F.lit(False))
     if max_docs is not None:
         out = out.orderBy("doc_key").limit(max_docs)
     return out

@@ -13,7 +13,10 @@ LEVEL_NAMES = ("NONE", "PARTIAL", "NEAR_DUPLICATE", "EXACT")  # weakest first
 def read_level(level: Column) -> Column:
     """0..3 of a level's name in any case and with any mark between its words; null for anything else."""
     plain = F.upper(F.regexp_replace(level, r"[\s ﻿_\-]+", ""))
-    return F.element_at(F.create_map(*[x for i, n in enumerate(LEVEL_NAMES) for x in (F.lit(n.replace("_", "")), F.lit(i))]), plain)
+    rank = F.lit(None).cast("int")
+    for i, name in enumerate(LEVEL_NAMES):
+        rank = F.when(plain == name.replace("_", ""), i).otherwise(rank)
+    return rank
 
 
 def hits_per_key(hits: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def hits_per_key(hits: DataFrame) -> DataFrame:
     )
     mean = F.when(F.col("valid") > 0, F.col("total").cast("double") / F.col("valid"))
     names = F.array(*map(F.lit, LEVEL_NAMES))
-    return out.select("field_name", "key_value", "hits", mean.alias("mean_containment"), F.when(F.col("rank").isNotNull(), F.element_at(names, F.col("rank") + 1)).alias("strongest"))
+    return out.select("field_name", "key_value", "hits", mean.alias("mean_containment"), F.get(names, F.col("rank")).alias("strongest"))
 
 
 def hot_keys(hits: DataFrame, share: float = 0.03) -> DataFrame:
