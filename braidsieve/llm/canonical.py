@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidsieve.llm import text as tx
+from braidsieve.llm.topn import unused
 from braidsieve.scratch import Saved, save
 
 
@@ -39,8 +40,9 @@ _digests = tx.column(
 
 
 def canonical_texts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``plain_text`` and ``text_key``."""
-    return df.withColumns({"plain_text": tx.plain(f"`{text}`"), "text_key": tx.folded(f"`{text}`")})
+    """``df`` with ``plain_text`` and ``text_key`` (with an underscore behind where a column has that name already)."""
+    names = [unused(c, df.columns) for c in ("plain_text", "text_key")]
+    return df.withColumns({names[0]: tx.plain(f"`{text}`"), names[1]: tx.folded(f"`{text}`")})
 
 
 def look_alike_pairs(rows: DataFrame) -> tuple[DataFrame, Saved]:

@@ -120,9 +120,11 @@ class Wavelet:
 
 
 class FMIndex:
-    """The index of one shard; codes are 0..top."""
+    """The index of one shard; codes are 0..top.  A sequence that does not end with a 0 gets one."""
 
     def __init__(self, codes: np.ndarray, top: int, every: int = 8) -> None:
+        if len(codes) and codes[-1]:
+            codes = np.append(codes, 0)
         n = len(codes)
         self.n, self.every = n, every
         order = suffix_order(codes)

@@ -112,9 +112,10 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start_word", T.IntegerType()),
 _SPANS_PA = pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32())]))
 
 
-def _scan(p: Patterns, least: float, block_words: int, id_type: pa.DataType):
+def _scan(p: Patterns, least: float, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        id_type = pa.null()
         pieces: list[tuple[int, int, np.ndarray]] = []
         size = 0
 
@@ -142,6 +143,7 @@ def _scan(p: Patterns, least: float, block_words: int, id_type: pa.DataType):
 
         code = p.code.get
         for batch in batches:
+            id_type = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = tx.words_of(text.as_py())
                 if len(words) < p.k:
@@ -182,7 +184,6 @@ def find_leaks(
     blocks = max(1, math.ceil(total / words_a_block))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType
-    id_type = pa.string() if isinstance(kind, T.StringType) else pa.from_numpy_dtype({"bigint": "int64", "int": "int32"}[kind.simpleString()])
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("item_id", T.StringType()), T.StructField("found_runs", T.IntegerType()), T.StructField("all_runs", T.IntegerType()), T.StructField("spans", _SPANS)]
     )
@@ -190,6 +191,6 @@ def find_leaks(
     for b in range(blocks):
         mine = coded if blocks == 1 else coded.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         held = [(r["item"], list(r["words"])) for r in mine.orderBy("item").toLocalIterator()]
-        found = docs.where(F.length("text") > 0).mapInArrow(_scan(Patterns(held, k), least, block_words, id_type), schema)
+        found = docs.where(F.length("text") > 0).mapInArrow(_scan(Patterns(held, k), least, block_words), schema)
         out = found if out is None else out.unionByName(found)
     return out

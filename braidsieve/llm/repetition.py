@@ -24,6 +24,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,7 +216,7 @@ SCHEMA = T.StructType(
 )
 
 
-def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, batch_docs: int = 2000) -> DataFrame:
+def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, batch_docs: int = 2000, batch_chars: int = 4_000_000) -> DataFrame:
     """Rows (doc_id, words, lines, runs, repeated_runs, marked_runs, repeated_share, content_share), one for each document.
     Nothing is shuffled: a document is judged where it is read."""
     model = line_model()
@@ -223,8 +224,12 @@ def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for o in range(0, batch.num_rows, batch_docs):
-                part = batch.slice(o, batch_docs)
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            o = 0
+            while o < batch.num_rows:
+                most = int(np.searchsorted(ends, (ends[o - 1] if o else 0) + batch_chars, side="right"))
+                part = batch.slice(o, max(1, min(batch_docs, most - o)))
+                o += part.num_rows
                 m = measure(part.column(1).to_pylist(), k, model)
                 yield pa.record_batch(
                     [

@@ -131,7 +131,7 @@ def pieces_of(text: str | None) -> list[str]:
     return _ASCII_PIECES.findall(low) if low.isascii() else tables().pieces.findall(low.replace("_", " "))
 
 
-_FIELD = re.compile(r"\s*[^\W_][^:|\n]{0,59}:.*\S", re.S)
+_FIELD = re.compile(r"\s*[^\W_][^:|\s]{0,39}(?:[^\S\n]+[^:|\s]{1,39}){0,2}[^\S\n]*:.*\S.*", re.S)  # a name has at most three words
 _PARTS = re.compile(r"[\n|]")
 
 

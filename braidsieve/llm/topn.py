@@ -6,8 +6,9 @@ turns local into global positions.  A count cut off at N is enough: where it is
 the first N.  So one group may fill many partitions, and no task ever holds more than N rows for each partition of a group.
 
 Ties in the order fall to the next column; give a unique last column for a result that is the same every time.  Nulls
-are a group like any other and sort last among scores.  An empty table gives an empty result, repeated rows each take
-a position, and columns of the input keep their names beside the added ``position``.
+are a group like any other; where they sort among scores is the order's choice.  An empty table gives an empty result, repeated
+rows each take a position, and columns of the input keep their names: if one is called ``position``, the added column is
+``position_``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,15 @@ def _same_as_before(col: pa.Array, last: pa.Scalar | None) -> np.ndarray:
     return out
 
 
-def _number(groups: list[int], n: int):
+def unused(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def _number(groups: list[int], n: int, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, before = TaskContext.get().partitionId(), None, 0
         for batch in batches:
@@ -52,7 +61,7 @@ def _number(groups: list[int], n: int):
             local[: starts[0] if len(starts) else batch.num_rows] += before
             before, last = int(local[-1]), [batch.column(g)[batch.num_rows - 1] for g in groups]
             keep = pa.array(local <= n)
-            out = batch.append_column("__local", pa.array(local)).append_column("__part", pa.array(np.full(batch.num_rows, part, np.int64)))
+            out = batch.append_column(names[0], pa.array(local)).append_column(names[1], pa.array(np.full(batch.num_rows, part, np.int64)))
             yield out.filter(keep)
 
     return run
@@ -62,25 +71,27 @@ def top_in_groups(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     """``df`` with ``position`` (1..n), only the first n rows of each group in ``order``."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    at, local, part = (unused(c, df.columns) for c in ("position", "__local", "__part"))
     keys = [F.col(f"`{g}`").asc_nulls_first() for g in groups]
     ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    schema = T.StructType([*df.schema.fields, T.StructField("__local", T.LongType()), T.StructField("__part", T.LongType())])
-    kept = ordered.mapInArrow(_number([df.columns.index(g) for g in groups], n), schema)
-    earlier = W.Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy("__part").rangeBetween(W.Window.unboundedPreceding, -1)
-    placed = kept.withColumn("position", F.col("__local") + F.count(F.lit(1)).over(earlier))
-    return placed.where(F.col("position") <= n).drop("__local", "__part")
+    schema = T.StructType([*df.schema.fields, T.StructField(local, T.LongType()), T.StructField(part, T.LongType())])
+    kept = ordered.mapInArrow(_number([df.columns.index(g) for g in groups], n, (local, part)), schema)
+    earlier = W.Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(part).rangeBetween(W.Window.unboundedPreceding, -1)
+    placed = kept.withColumn(at, F.col(local) + F.count(F.lit(1)).over(earlier))
+    return placed.where(F.col(at) <= n).drop(local, part)
 
 
-RANK = {"EXACT": 3, "NEARDUPLICATE": 2, "PARTIAL": 1, "NONE": 0}  # strongest first
+# The levels as regular expressions of their names without blanks, and their ranks.
+RANKS = (("EXACT", 3), ("NEAR[^A-Z0-9]*DUPLICATE", 2), ("PARTIAL", 1), ("NONE", 0))
 
 
 def level_rank(level: Column) -> Column:
     """3 EXACT, 2 NEAR_DUPLICATE, 1 PARTIAL, 0 NONE, read without regard to case, blanks and the mark between words; null
     for anything else."""
-    plain = F.upper(F.regexp_replace(level, r"[\s ﻿_\-]+", ""))
+    plain = F.upper(F.regexp_replace(level, r"[\s\x{A0}\x{FEFF}]+", ""))
     rank = F.lit(None).cast("int")
-    for name, value in RANK.items():
-        rank = F.when(plain == name, value).otherwise(rank)
+    for name, value in RANKS:
+        rank = F.when(plain.rlike(f"^{name}$"), value).otherwise(rank)
     return rank
 
 
