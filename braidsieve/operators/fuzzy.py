@@ -4,7 +4,8 @@ The index is sent to the tasks in blocks of at most ``block_shingles`` shingles,
 block the documents are read once for each.  A document is judged within one task, by arrays: hashes of its shingles,
 minima over sliding windows, band keys looked up among the entries' keys.  Reported containments are exact.
 
-Which windows become candidates depends on the hash family; verbatim copies always do.
+Which windows become candidates depends on the hash family.  Windows start at every eighth of their length, so of a
+verbatim copy at least seven eighths lie within one of them.
 """
 
 from __future__ import annotations

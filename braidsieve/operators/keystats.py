@@ -11,11 +11,11 @@ LEVEL_NAMES = ("NONE", "PARTIAL", "NEAR_DUPLICATE", "EXACT")  # weakest first
 
 
 def read_level(level: Column) -> Column:
-    """0..3 of a level's name in any case and with any mark between its words; null for anything else."""
-    plain = F.upper(F.regexp_replace(level, r"[\s ﻿_\-]+", ""))
+    """0..3 of a level's name in any case, with blanks anywhere and any mark between its words; null for anything else."""
+    plain = F.upper(F.regexp_replace(level, r"[\s\x{A0}\x{FEFF}]+", ""))
     rank = F.lit(None).cast("int")
     for i, name in enumerate(LEVEL_NAMES):
-        rank = F.when(plain == name.replace("_", ""), i).otherwise(rank)
+        rank = F.when(plain.rlike("^" + name.replace("_", "[^A-Z0-9]*") + "$"), i).otherwise(rank)
     return rank
 
 
