@@ -4,8 +4,12 @@ Texts with the same words form a class, and one text stands for its class.  A cl
 minima of multiply-shift hashes over its k-runs; classes that agree in a whole band are candidates.  The band rows carry
 one bit of each of 256 minima; a candidate pair must agree in about as many of them as the threshold makes likely (five
 and a half standard deviations are allowed, a loss below 1 in 10^7), which is checked within the join, before anything
-is moved.  What is left is held against the exact Jaccard similarity of the k-runs.  No bucket is cut: a bucket's pairs
-are the output of a join whose skewed partitions Spark parts.  With the default 128 bands of 4 rows, a pair exactly at
+is moved.  What is left is held against the exact Jaccard similarity of the k-runs.
+
+No bucket is cut.  A bucket that one class in 64 shows to hold more than 1 / 512 of all classes (and more than ``hot_rows``) is
+laid out as a square: its rows are spread over k rows of cells on one side of the join and k columns on the other, so
+that every pair meets in exactly one of k x k cells of bounded size.  There are at most bands x 512 such buckets, so
+their keys can be broadcast; which buckets are laid out never changes the result.  With the default 128 bands of 4 rows, a pair exactly at
 0.5 is missed with probability 0.03 %, one at 0.6 with 2 in 10^8.
 
 Defined results: null texts and texts of fewer than k words have no k-run and are in no pair; ids that are null are left
@@ -105,7 +109,17 @@ class NearDuplicates:
     behind: list[Saved]
 
 
-def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: float = 0.8, bands: int = 128, rows: int = 4) -> NearDuplicates:
+def _laid_out(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell (x, y) of each row; rows of buckets that are not hot are in cell (0, 0)."""
+    k = F.coalesce("k", F.lit(1))
+    own, every = F.pmod(F.xxhash64("n"), k), F.sequence(F.lit(0).cast("long"), k - 1)
+    other = F.pmod(F.xxhash64("n_b"), k)
+    left = a.join(F.broadcast(hot), "band", "left").select(*a.columns, own.alias("x"), F.explode(every).alias("y"))
+    right = b.join(F.broadcast(hot), "band", "left").select(*b.columns, F.explode(every).alias("x"), other.alias("y"))
+    return left, right
+
+
+def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: float = 0.8, bands: int = 128, rows: int = 4, hot_rows: int = 2000, sampled: int = 64) -> NearDuplicates:
     """Classes of equal words and all pairs of classes with Jaccard similarity of k-runs of at least ``least``."""
     if not 0 < least <= 1:
         raise ValueError("least must be within (0, 1]")
@@ -122,7 +136,16 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
     lo, hi = F.least("size", "size_b"), F.greatest("size", "size_b")
     alike = (F.col("n") < F.col("n_b")) & (lo >= F.lit(least) * hi - 1e-9) & (differ <= F.lit(int(apart)))
-    candidates = a.join(b.hint("merge"), "band").where(alike).select(F.col("n").alias("n_a"), F.col("n_b")).distinct()
+    # which buckets hold many classes, from one class in ``sampled``
+    hot_rows = max(hot_rows, classes.df.count() // 512)
+    part = classes.df.select("n", "runs").where(F.pmod(F.xxhash64("n"), F.lit(sampled)) == 0).mapInArrow(_bands(bands, rows), schema)
+    counted = part.groupBy("band").agg((F.count(F.lit(1)) * sampled).alias("c")).where(F.col("c") > hot_rows)
+    hot = save(counted.select("band", F.ceil(F.sqrt(F.col("c") / hot_rows)).alias("k")), "hot")
+    on = ["band"]
+    if not hot.df.isEmpty():
+        a, b = _laid_out(a, b, hot.df)
+        on = ["band", "x", "y"]
+    candidates = a.join(b.hint("merge"), on).where(alike).select(F.col("n").alias("n_a"), F.col("n_b")).distinct()
 
     left = classes.df.select(F.col("n").alias("n_a"), F.col("runs").alias("runs_a"))
     right = classes.df.select(F.col("n").alias("n_b"), F.col("runs").alias("runs_b"))
@@ -130,7 +153,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     checked = candidates.join(left, "n_a").join(right, "n_b").select("n_a", "n_b", common.alias("c"), (F.size("runs_a") + F.size("runs_b")).alias("s"))
     true = checked.select("n_a", "n_b", (F.col("c") / (F.col("s") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= F.lit(least) - 1e-12)
     pairs = save(true, "pairs")
-    return NearDuplicates(members.df, pairs.df, [classes, members, pairs])
+    return NearDuplicates(members.df, pairs.df, [classes, members, pairs, hot])
 
 
 def id_pairs(found: NearDuplicates) -> DataFrame:

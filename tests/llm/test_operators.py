@@ -142,6 +142,9 @@ def test_near_duplicates(spark):
     found = neardup.near_duplicates(df, "id", "t", k=3, least=0.5)
     got = [(r["id_a"], r["id_b"]) for r in neardup.id_pairs(found).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    laid_out = neardup.near_duplicates(df, "id", "t", k=3, least=0.5, hot_rows=2, sampled=1)
+    again = [(r["id_a"], r["id_b"]) for r in neardup.id_pairs(laid_out).collect()]
+    assert len(again) == len(set(again)) and set(again) == want
     group = {r["id"]: r["group_id"] for r in neardup.groups(found).collect()}
     assert set(group) == set(sets) and all(group[a] == group[b] for a, b in want)
     assert all(g <= i for i, g in group.items())
