@@ -92,3 +92,10 @@ def annotation_pick(hits: DataFrame, quota: int, seed: int = 0) -> DataFrame:
     per_item = one.withColumn("__n", F.row_number().over(W.Window.partitionBy("item_id").orderBy("__u"))).where("__n = 1")
     picked = per_item.withColumn("__n", F.row_number().over(W.Window.partitionBy("label").orderBy("__u", "hit_id"))).where(F.col("__n") <= quota)
     return picked.drop("__n", "__u")
+
+
+def annotation_pack(picked: DataFrame, seed: int = 0) -> DataFrame:
+    """One row (label, hits) for each label: its picked hits as a JSON list in a seeded order.  A label has at most the
+    quota of ``annotation_pick`` hits, so a list is small."""
+    row = F.struct(F.xxhash64(F.lit(seed), "hit_id").alias("at"), F.struct("hit_id", "item_id", "doc_id", "level", "containment").alias("hit"))
+    return picked.groupBy("label").agg(F.to_json(F.array_sort(F.collect_list(row))["hit"]).alias("hits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidsieve.functions.text import normal_form, token_count, token_line
 from braidsieve.operators import containment as ct
+from braidsieve.operators import lookup
 from braidsieve.operators.items import QUESTION, QUESTION_CHOICES, benchmark_of, corpus, view_text, within_budget
 from braidsieve.plans import oracle as sql
 
@@ -161,8 +162,8 @@ def doc_budget(spark, sf_dir):
 
 def find_documents(spark, sf_dir):
     """Documents looked up by id, and the ids that are missing."""
-    wanted = spark.createDataFrame([("7",), ("11",), ("no such id",)], "doc_id string")
-    return wanted.join(pages(spark, sf_dir), "doc_id", "left").select("doc_id", F.col("text").isNotNull().alias("found"), F.length("text").alias("chars"))
+    out = lookup.find_documents(pages(spark, sf_dir), ["7", "11", "no such id"])
+    return out.select("doc_id", "found", F.length("text").alias("chars"))
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from braidsieve.functions.hashing import digest_column, gram_value_column, token_hash_column, unit_column
 from braidsieve.functions.text import normal_form, token_line
-from braidsieve.operators import dupes, split
+from braidsieve.operators import dupes, lookup, split
 from braidsieve.operators.items import QUESTION, view_text
 from braidsieve.plans import oracle as sql
 from braidsieve.plans.overlap import docs, held_out, items, pages
@@ -81,10 +81,8 @@ def gram_values(spark, sf_dir):
 
 
 def phrase_context(spark, sf_dir):
-    """Text around the phrase ``which tool should`` in pages, whatever stands between its words."""
-    pattern = r"(?is).{0,40}\bwhich\W+tool\W+should\b.{0,40}"
-    found = F.regexp_replace(F.regexp_extract("text", pattern, 0), "\n", " | ")
-    return pages(spark, sf_dir).select("doc_id", found.alias("context")).where("context <> ''")
+    """Text around the phrase in pages, whatever stands between its words."""
+    return lookup.phrase_context(pages(spark, sf_dir), "which tool should", 40)
 
 
 QUERIES = {

@@ -103,6 +103,10 @@ def annotation_pick(spark, sf_dir):
     return labels.annotation_pick(clean_labels(spark, sf_dir), 40).select("label", "item_id", "hit_id")
 
 
+def annotation_pack(spark, sf_dir):
+    return labels.annotation_pack(labels.annotation_pick(clean_labels(spark, sf_dir), 40))
+
+
 def wilson_table(spark, sf_dir):
     """Intervals of the share of exact hits of each stratum."""
     rows = hits(spark, sf_dir).groupBy("stratum").agg(F.count_if(F.col("rank") == 3).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -126,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_labels, strongest_levels, level_report, top_hits, best_hit_per_item, filter_by_length, flagrate_by_min_length, hits_by_length_bucket, compare_corpora_newcombe,
-        hits_per_million, label_summary, label_kappa, label_pairs, first_hits, label_sample, label_sample_top, annotation_pick, wilson_table, banding_curve, rounded_hits,
+        hits_per_million, label_summary, label_kappa, label_pairs, first_hits, label_sample, label_sample_top, annotation_pick, annotation_pack, wilson_table, banding_curve, rounded_hits,
     )
 }
 

@@ -65,6 +65,11 @@ def macro_recall(spark, sf_dir):
     return evaluate.macro_recall(eval_summary(spark, sf_dir))
 
 
+def eval_json(spark, sf_dir):
+    """The summary as JSON, a record for each condition."""
+    return eval_summary(spark, sf_dir).select("spec", F.to_json(F.struct("*")).alias("record"))
+
+
 def _sweep(spark, sf_dir):
     return evaluate.sweep(held_out(spark, sf_dir), _planted(spark, sf_dir), ns=(3, 5), views=(QUESTION_CHOICES,), partials=(0.3, 0.5), window_slacks=(None, 1.5))
 
@@ -119,7 +124,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        corrupt_by_chance, planted_corpus, planted_shortfalls, verify_plants, eval_summary, macro_recall, threshold_sweep, operating_point, compare_methods, fuzzy_hits, synthetic_background, synthetic_items, streaming_scan,
+        corrupt_by_chance, planted_corpus, planted_shortfalls, verify_plants, eval_summary, macro_recall, eval_json, threshold_sweep, operating_point, compare_methods, fuzzy_hits, synthetic_background, synthetic_items, streaming_scan,
     )
 }
 
