@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate, repeat
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,8 +60,6 @@ def best_banding(threshold: float, hashes: int) -> tuple[int, int]:
 
 
 def window_size(shingles: int, base: int = 8, ratio: float = 1.3) -> int:
-    """The least of the sizes base, base * ratio, ... (rounded up each time) that holds the shingles."""
-    size = base
-    while size < shingles:
-        size = max(size + 1, math.ceil(size * ratio))
-    return size
+    """The least of the sizes base, base * ratio, ... (rounded up each time, growing by one at least) that holds the shingles."""
+    sizes = accumulate(repeat(base), lambda s, _: max(s + 1, math.ceil(s * ratio)))
+    return next(s for s in sizes if s >= shingles)

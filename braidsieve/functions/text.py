@@ -11,7 +11,6 @@ Nulls stay null.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections import defaultdict
 from functools import cache
@@ -43,7 +42,7 @@ def character_class(points: list[int]) -> str:
 def _patterns() -> tuple[re.Pattern[str], re.Pattern[str]]:
     """Format characters, and punctuation."""
     kinds: dict[str, list[int]] = defaultdict(list)
-    for p in range(sys.maxunicode + 1):
+    for p in chain(range(0x20000), range(0xE0000, 0xE1000)):  # beyond these planes are only letters and unassigned points
         kinds[unicodedata.category(chr(p))].append(p)
     marks = sorted(p for k, ps in kinds.items() if k[0] == "P" for p in ps)
     return re.compile(f"[{character_class(kinds['Cf'])}]+"), re.compile(f"[{character_class(marks)}]+")

@@ -28,6 +28,7 @@ from pyspark.sql import window as W
 from braidsieve.functions.text import distinct_values, gram_hashes, token_count, token_line, tokens_of, with_grams
 from braidsieve.operators.items import QUESTION_CHOICES, view_text
 from braidsieve.scratch import Saved, save
+from braidsieve.session import spread
 
 LEVELS = ("NONE", "PARTIAL", "NEAR_DUPLICATE", "EXACT")
 FLOOR = 1e-9
@@ -173,7 +174,7 @@ def candidates(docs: DataFrame, index: Index, floor: float) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil(F.lit(floor) * F.col("total") - 1e-9)).cast("int")
     rare = save(index.entries.select("entry", F.explode(F.slice("grams", 1, F.col("total") - need + 1)).alias("gram")), "rare")
     index.behind.append(rare)
-    grams = docs.where("text is not null").select("doc_key", F.explode(F.array_distinct(with_grams("text", index.sizes)["grams"]["gram"])).alias("gram"))
+    grams = spread(docs.where("text is not null").select("doc_key", "text")).select("doc_key", F.explode(F.array_distinct(with_grams("text", index.sizes)["grams"]["gram"])).alias("gram"))
     return grams.join(rare.df, "gram").select("doc_key", "entry").distinct()
 
 
@@ -213,7 +214,7 @@ def _scorer(sizes: list[int], near: float, slack: float | None, snippet_chars: i
 def score(docs: DataFrame, index: Index, pairs: DataFrame, *, near: float, window_slack: float | None = None, snippet_chars: int = 0) -> DataFrame:
     """Matched grams, containment and the contiguous match (looked for from containment ``near`` on) of (doc_key, entry)
     pairs, with the entries' columns."""
-    both = docs.select("doc_key", "doc_id", "text").join(pairs, "doc_key").join(index.entries, "entry")
+    both = spread(docs.select("doc_key", "doc_id", "text").join(pairs, "doc_key").join(index.entries, "entry"), docs)
     found = both.withColumn("s", _scorer(index.sizes, near, window_slack, snippet_chars)("text", "line", "size", "grams"))
     return found.select(
         "item_ids", "entry", "doc_key", "doc_id", (F.col("s.m") / F.col("total")).alias("containment"), F.col("s.m").alias("matched_ngrams"), F.col("total").alias("total_ngrams"),

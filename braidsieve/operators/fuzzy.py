@@ -24,6 +24,7 @@ from braidsieve.functions.stats import window_size
 from braidsieve.functions.text import gram_hashes, token_count, tokens_of
 from braidsieve.operators.containment import entry_lines
 from braidsieve.operators.items import QUESTION
+from braidsieve.session import spread
 
 
 class FuzzyIndex:
@@ -104,7 +105,7 @@ def fuzzy_scan(
     entries, _ = fuzzy_entries(items, view=view, k=k, min_tokens=min_tokens)
     total = entries.agg(F.coalesce(F.sum(token_count(F.col("line"))), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_shingles))
-    source = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    source = spread(docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     out = None
     for b in range(blocks):
         mine = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == b)

@@ -61,8 +61,8 @@ def trimmed(text: str, most: int) -> str:
     """A host cut to at most ``most`` characters, at its last space if there is one past the start."""
     if len(text) <= most:
         return text
-    at = text.rfind(" ", 0, most)
-    return text[: at if at > 0 else most]
+    head = text[:most]
+    return head.rpartition(" ")[0] or head
 
 
 def _trim(most: int):

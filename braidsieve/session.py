@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -40,3 +40,10 @@ def local(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSessi
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
+
+
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``df`` over all cores, if its source (``like``, or itself: a plain scan) has partitions for less than half of them, as
+    with one small file; a table of many files is left as it is and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * (df if like is None else like).rdd.getNumPartitions() >= cores else df.repartition(cores)
