@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from braidsieve.llm import text as tx
 from braidsieve.llm.topn import unused
 from braidsieve.scratch import Saved, save
+from braidsieve.session import spread
 
 
 def digest(text: str) -> str:
@@ -51,7 +52,7 @@ def look_alike_pairs(rows: DataFrame) -> tuple[DataFrame, Saved]:
 
     Pairs are made between distinct stored texts first and carried to their rows after, so that copies stored alike are
     never compared with each other."""
-    kept = save(rows.select("table_name", "pos", _digests("text").alias("d")).where("d is not null").select("table_name", "pos", "d.*"), "forms")
+    kept = save(spread(rows.select("table_name", "pos", "text")).select("table_name", "pos", _digests("text").alias("d")).where("d is not null").select("table_name", "pos", "d.*"), "forms")
     df = kept.df
     same = ["table_name", "key", "plain"]
     several = df.groupBy(same).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(same)

@@ -23,6 +23,7 @@ from braidsieve.llm import text as tx
 from braidsieve.llm.canonical import digest
 from braidsieve.llm.components import connected_components
 from braidsieve.scratch import Saved, save
+from braidsieve.session import spread
 
 
 def written_keys(text: str | None) -> dict | None:
@@ -47,7 +48,7 @@ _keys = tx.column(
 
 def canonical_keys(rows: DataFrame) -> Saved:
     """rows: (table_name, pos, text).  A saved table (table_name, pos, key), one row for each text with words."""
-    raw = save(rows.select("table_name", "pos", _keys("text").alias("k")).where("k is not null").select("table_name", "pos", "k.*"), "keys")
+    raw = save(spread(rows.select("table_name", "pos", "text")).select("table_name", "pos", _keys("text").alias("k")).where("k is not null").select("table_name", "pos", "k.*"), "keys")
     cards = raw.df.where("rec is not null")
     by_seq = cards.groupBy("table_name", "seq").agg(F.min("rec").alias("card"), F.max("rec").alias("other"))
     df = raw.df.join(by_seq.drop("other"), ["table_name", "seq"], "left").withColumn("key", F.coalesce("rec", "card", "seq"))

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from braidsieve.llm import text as tx
 from braidsieve.llm.fmindex import FMIndex
+from braidsieve.session import spread
 
 
 class Patterns:
@@ -182,7 +183,7 @@ def find_leaks(
     coded = items.select(F.col(item_id).cast("string").alias("item"), tx.words(question).alias("words")).where(F.size("words") >= k)
     total = coded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / words_a_block))
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [T.StructField("doc_id", kind), T.StructField("item_id", T.StringType()), T.StructField("found_runs", T.IntegerType()), T.StructField("all_runs", T.IntegerType()), T.StructField("spans", _SPANS)]

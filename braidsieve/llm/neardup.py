@@ -32,6 +32,7 @@ from braidsieve.llm import text as tx
 from braidsieve.llm.canonical import digest
 from braidsieve.llm.components import connected_components
 from braidsieve.scratch import Saved, save
+from braidsieve.session import spread
 
 BITS = 256
 
@@ -123,7 +124,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     """Classes of equal words and all pairs of classes with Jaccard similarity of k-runs of at least ``least``."""
     if not 0 < least <= 1:
         raise ValueError("least must be within (0, 1]")
-    held = save(df.select(F.col(id).alias("id"), _shingler(k)(text).alias("d")).where("id is not null and d is not null").select("id", F.col("d.words").alias("words"), F.col("d.runs").alias("runs")), "runs")
+    held = save(spread(df.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", _shingler(k)("text").alias("d")).where("id is not null and d is not null").select("id", F.col("d.words").alias("words"), F.col("d.runs").alias("runs")), "runs")
     classes = save(held.df.groupBy("words").agg(F.first("runs").alias("runs")).withColumn("n", F.monotonically_increasing_id()), "classes")
     members = save(held.df.select("id", "words").distinct().join(classes.df.select("words", "n"), "words").select("id", "n"), "members")
     held.drop()

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidsieve.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the default rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,7 +44,7 @@ def encoding(path: str, pattern: str):
 
 def count_tokens(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens); 0 for null texts."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary

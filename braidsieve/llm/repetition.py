@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidsieve.llm import text as tx
+from braidsieve.session import spread
 
 LINE_WORDS = 32
 FIT_PAGES = 150
@@ -220,7 +221,7 @@ def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """Rows (doc_id, words, lines, runs, repeated_runs, marked_runs, repeated_share, content_share), one for each document.
     Nothing is shuffled: a document is judged where it is read."""
     model = line_model()
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
