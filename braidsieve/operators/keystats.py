@@ -42,8 +42,5 @@ def hits_per_key(hits: DataFrame) -> DataFrame:
 
 def hot_keys(hits: DataFrame, share: float = 0.03) -> DataFrame:
     """(field_name, key_value) of the non-null keys that hold at least ``share`` of all rows."""
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        hits_per_key(hits).where("key_value is not null").join(F.broadcast(total), F.col("hits") >= F.lit(share) * F.col("total") - 1e-9)
-        .select("field_name", "key_value")
-    )
+    least = share * hits.count() - 1e-9
+    return hits_per_key(hits).where(F.col("key_value").isNotNull() & (F.col("hits") >= least) & (F.col("hits") > 0)).select("field_name", "key_value")
