@@ -113,7 +113,7 @@ class NearDuplicates:
 def _laid_out(a: DataFrame, b: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with the cell (x, y) of each row; rows of buckets that are not hot are in cell (0, 0)."""
     k = F.coalesce("k", F.lit(1))
-    own, every = F.pmod(F.xxhash64("n"), k), F.sequence(F.lit(0).cast("long"), k - 1)
+    own, every = F.pmod(F.xxhash64("n_a"), k), F.sequence(F.lit(0).cast("long"), k - 1)
     other = F.pmod(F.xxhash64("n_b"), k)
     left = a.join(F.broadcast(hot), "band", "left").select(*a.columns, own.alias("x"), F.explode(every).alias("y"))
     right = b.join(F.broadcast(hot), "band", "left").select(*b.columns, F.explode(every).alias("x"), other.alias("y"))
@@ -130,13 +130,14 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     held.drop()
 
     schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("n", T.LongType()), T.StructField("size", T.IntegerType())] + [T.StructField(f"s{i}", T.LongType()) for i in range(4)])
-    a = classes.df.select("n", "runs").mapInArrow(_bands(bands, rows), schema)
-    b = a.select("band", *[F.col(c).alias(f"{c}_b") for c in schema.names[1:]])
+    made = classes.df.select("n", "runs").mapInArrow(_bands(bands, rows), schema)
+    # both sides are renamed alike, so that they are one exchange to Spark and the rows are made and moved once
+    a, b = (made.select("band", *[F.col(c).alias(f"{c}_{side}") for c in schema.names[1:]]) for side in "ab")
     agree = (1 + least) / 2
     apart = BITS * (1 - agree) + 5.5 * (BITS * agree * (1 - agree)) ** 0.5
-    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
-    lo, hi = F.least("size", "size_b"), F.greatest("size", "size_b")
-    alike = (F.col("n") < F.col("n_b")) & (lo >= F.lit(least) * hi - 1e-9) & (differ <= F.lit(int(apart)))
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4)), F.lit(0))
+    lo, hi = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    alike = (F.col("n_a") < F.col("n_b")) & (lo >= F.lit(least) * hi - 1e-9) & (differ <= F.lit(int(apart)))
     # which buckets hold many classes, from one class in ``sampled``
     hot_rows = max(hot_rows, classes.df.count() // 512)
     part = classes.df.select("n", "runs").where(F.pmod(F.xxhash64("n"), F.lit(sampled)) == 0).mapInArrow(_bands(bands, rows), schema)
@@ -146,7 +147,7 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     if not hot.df.isEmpty():
         a, b = _laid_out(a, b, hot.df)
         on = ["band", "x", "y"]
-    candidates = a.join(b.hint("merge"), on).where(alike).select(F.col("n").alias("n_a"), F.col("n_b")).distinct()
+    candidates = a.join(b.hint("merge"), on).where(alike).select("n_a", "n_b").distinct()
 
     left = classes.df.select(F.col("n").alias("n_a"), F.col("runs").alias("runs_a"))
     right = classes.df.select(F.col("n").alias("n_b"), F.col("runs").alias("runs_b"))
