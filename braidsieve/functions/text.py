@@ -39,13 +39,14 @@ def character_class(points: list[int]) -> str:
 
 
 @cache
-def _patterns() -> tuple[re.Pattern[str], re.Pattern[str]]:
-    """Format characters, and punctuation."""
+def _patterns() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    """Format characters, punctuation, and tokens of a text whose punctuation still stands."""
     kinds: dict[str, list[int]] = defaultdict(list)
     for p in chain(range(0x20000), range(0xE0000, 0xE1000)):  # beyond these planes are only letters and unassigned points
         kinds[unicodedata.category(chr(p))].append(p)
     marks = sorted(p for k, ps in kinds.items() if k[0] == "P" for p in ps)
-    return re.compile(f"[{character_class(kinds['Cf'])}]+"), re.compile(f"[{character_class(marks)}]+")
+    marked = character_class(marks)
+    return re.compile(f"[{character_class(kinds['Cf'])}]+"), re.compile(f"[{marked}]+"), re.compile(f"\\w+|[^\\w\\s{marked}]")
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -58,7 +59,7 @@ def normalize(text: str) -> str:
         raise TypeError(f"a text is needed, not {type(text).__name__}")
     if text.isascii():
         return " ".join(text.lower().translate(_ASCII_MARKS).split())
-    unseen, marks = _patterns()
+    unseen, marks, _ = _patterns()
     low = unicodedata.normalize("NFKC", unseen.sub("", text)).lower()
     return " ".join(marks.sub(" ", unicodedata.normalize("NFKC", low)).split())
 
@@ -68,8 +69,18 @@ def tokenize(normal: str) -> list[str]:
     return _TOKEN.findall(normal)
 
 
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+|[$+<=>^`|~\x00-\x08\x0e-\x1b\x7f]")
+
+
 def tokens_of(text: str | None) -> list[str]:
-    return [] if text is None else _TOKEN.findall(normalize(text))
+    """``tokenize(normalize(text))`` in one pass; none for null."""
+    if not text:
+        return []
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower())
+    unseen, _, token = _patterns()
+    low = unicodedata.normalize("NFKC", unseen.sub("", text)).lower()
+    return token.findall(unicodedata.normalize("NFKC", low).replace("_", " "))
 
 
 def distinct_values(values: pa.Array | pa.ChunkedArray) -> tuple[list[str | None], pa.Array]:
@@ -135,6 +146,23 @@ def gram_hashes(tokens: list[list[str]], sizes: list[int]) -> tuple[np.ndarray,
 GRAM = T.StructType([T.StructField("line", T.StringType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("gram", T.LongType())])))])
 
 
+def gram_sets(text: Column | str, sizes: list[int]) -> Column:
+    """The distinct n-gram hashes of the given sizes; none for null."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(values: pa.Array) -> pa.Array:
+        texts, at = distinct_values(values)
+        doc, _, gram = gram_hashes([tokens_of(t) for t in texts], sizes)
+        by = np.lexsort((gram, doc))
+        doc, gram = doc[by], gram[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+        ends = np.searchsorted(doc[new], np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gram[new])).take(at)
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
 def with_grams(text: Column | str, sizes: list[int]) -> Column:
     """A struct of the token line and of all n-grams of the given sizes: grams of (pos, gram)."""
     if not sizes or min(sizes) < 1:

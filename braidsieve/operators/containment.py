@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from braidsieve.functions.text import distinct_values, gram_hashes, token_count, token_line, tokens_of, with_grams
+from braidsieve.functions.text import distinct_values, gram_hashes, gram_sets, token_count, token_line, tokens_of
 from braidsieve.operators.items import QUESTION_CHOICES, view_text
 from braidsieve.scratch import Saved, save
 from braidsieve.session import spread
@@ -98,20 +98,6 @@ def entry_lines(items: DataFrame, view: str, min_tokens: int) -> tuple[DataFrame
     return long, short
 
 
-def gram_frequencies(lines: DataFrame, n: int) -> DataFrame:
-    """(size, gram, entries): in how many distinct texts each n-gram stands."""
-    sized = lines.select("line", F.least(F.lit(n), "tokens").alias("size"))
-    grams = with_grams("line", list(range(1, n + 1)))["grams"]
-    return sized.select("size", F.explode(_own_grams(grams, F.col("size"), F.size(F.split("line", " ")))).alias("gram")).groupBy("size", "gram").agg(F.count(F.lit(1)).alias("entries"))
-
-
-def _own_grams(grams: Column, size: Column, tokens: Column) -> Column:
-    """Distinct grams of one size, out of the grams of sizes 1..n in order of size: those of size s start behind the
-    (s - 1) * tokens - (s - 1)(s - 2) / 2 grams of the sizes before."""
-    before = ((size - 1) * tokens - (size - 1) * (size - 2) / 2).cast("int")
-    return F.array_distinct(F.slice(grams["gram"], before + 1, F.greatest(tokens - size + 1, F.lit(0))))
-
-
 def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, stop_k: int | None = None, min_tokens: int | None = None) -> Index:
     """The index of a benchmark; items that cannot be searched are reported, never dropped silently."""
     least = _check(n, min_tokens, stop_k)
@@ -121,8 +107,7 @@ def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, s
     sizes = sorted(r["size"] for r in raw.df.select("size").distinct().collect())  # at most n numbers
     if not sizes:
         sizes = [n]
-    grams = [with_grams("line", [s])["grams"]["gram"] for s in sizes]
-    own = F.coalesce(*[F.when(F.col("size") == s, F.array_distinct(g)) for s, g in zip(sizes, grams)])
+    own = F.coalesce(*[F.when(F.col("size") == s, gram_sets("line", [s])) for s in sizes])
     each = raw.df.select("entry", "size", F.explode(own).alias("gram"))
     counted = each.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("df"))
     kept = each.join(counted if stop_k is None else counted.where(F.col("df") < stop_k), ["size", "gram"])
@@ -174,7 +159,7 @@ def candidates(docs: DataFrame, index: Index, floor: float) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil(F.lit(floor) * F.col("total") - 1e-9)).cast("int")
     rare = save(index.entries.select("entry", F.explode(F.slice("grams", 1, F.col("total") - need + 1)).alias("gram")), "rare")
     index.behind.append(rare)
-    grams = spread(docs.where("text is not null").select("doc_key", "text")).select("doc_key", F.explode(F.array_distinct(with_grams("text", index.sizes)["grams"]["gram"])).alias("gram"))
+    grams = spread(docs.where("text is not null").select("doc_key", "text")).select("doc_key", F.explode(gram_sets("text", index.sizes)).alias("gram"))
     return grams.join(rare.df, "gram").select("doc_key", "entry").distinct()
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidsieve.functions.text import token_line, with_grams
+from braidsieve.functions.text import gram_sets, token_line
 from braidsieve.scratch import save
 from braidsieve.session import spread
 
@@ -18,7 +18,7 @@ from braidsieve.session import spread
 def shingle_sets(df: DataFrame, id: str, text: Column, k: int) -> DataFrame:
     """(id, shingles): distinct k-shingles; a text of fewer than k tokens has one shingle, all of it; empty texts have none."""
     lined = spread(df.select(F.col(id).alias("id"), text.alias("text"))).select("id", token_line(F.col("text")).alias("line")).where("length(line) > 0")
-    long = F.array_distinct(with_grams("line", [k])["grams"]["gram"])
+    long = gram_sets("line", [k])
     return lined.select("id", F.when(F.size(long) > 0, long).otherwise(F.array(F.xxhash64("line", F.lit("whole")))).alias("shingles"))
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from braidsieve.functions import hashing, stats
-from braidsieve.functions.text import gram_hashes, normal_form, normalize, token_count, token_line, tokenize, with_grams
+from braidsieve.functions.text import gram_hashes, normal_form, normalize, token_count, token_line, tokenize, tokens_of, with_grams
 
 
 @pytest.mark.parametrize(
@@ -45,6 +45,12 @@ def test_normal_form_is_stable(text):
     assert not any(unicodedata.category(c)[0] == "P" or unicodedata.category(c) == "Cf" for c in once)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aB_ .-\t\x1f\x7f+é​ﬁＦ²", max_size=20))
+def test_tokens_in_one_pass(text):
+    assert tokens_of(text) == tokenize(normalize(text))
+
+
 def test_tokens():
     assert tokenize("12+30=42 <b>") == ["12", "+", "30", "=", "42", "<", "b", ">"]
 
