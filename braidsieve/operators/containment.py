@@ -169,25 +169,35 @@ HIT_COLUMNS = ["item_id", "doc_key", "doc_id", "level", "containment", "matched_
 _SCORE = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("st", T.IntegerType()), T.StructField("exact", T.BooleanType()), T.StructField("snippet", T.StringType())])
 
 
-def _scorer(sizes: list[int], near: float, slack: float | None, snippet_chars: int):
+def _scorer(sizes: list[int], near: float, slack: float | None, snippet_chars: int, floor: float):
     @F.arrow_udf(_SCORE)
     def run(text: pa.Array, line: pa.Array, size: pa.Array, grams: pa.Array) -> pa.Array:
         texts, at = distinct_values(text)
         tokens = [tokens_of(t) for t in texts]
         doc, place, value = gram_hashes(tokens, sizes)
-        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         lines = [f" {' '.join(t)} " for t in tokens]
-        bounds, flat = grams.offsets.to_numpy(), grams.values.to_numpy(zero_copy_only=False)
+        # the entries' grams get numbers; all others share one that is never marked
+        bounds, flat = grams.offsets.to_numpy().tolist(), grams.values.to_numpy(zero_copy_only=False)
+        known = np.unique(flat)
+        own_number = np.searchsorted(known, flat)
+        number = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+        number = np.where(known[number] == value, number, len(known)) if len(known) else number
+        marked = np.zeros(len(known) + 1, bool)
         out = []
         for i, (d, own, n) in enumerate(zip(at.to_pylist(), line.to_pylist(), size.to_pylist())):
             a, b = ends[d], ends[d + 1]
-            mine = flat[bounds[i] : bounds[i + 1]]
-            hit = np.flatnonzero(np.isin(value[a:b], mine)) + a
+            mine = own_number[bounds[i] : bounds[i + 1]]
+            marked[mine] = True
+            hit = np.flatnonzero(marked[number[a:b]]) + a
+            marked[mine] = False
+            m, st = len(set(number[hit].tolist())), int(place[hit[0]]) if len(hit) else -1
+            if m < floor * len(mine) - 1e-9:
+                out.append((0, -1, False, ""))
+                continue
             length = own.count(" ") + 1
-            if slack is None:
-                m, st = len(np.unique(value[hit])), int(place[hit[0]]) if len(hit) else -1
-            else:
-                m, st = best_window(place[hit], value[hit], span_of(slack, length, n))
+            if slack is not None:
+                m, st = best_window(place[hit], number[hit], span_of(slack, length, n))
             whole = m >= near * len(mine) - 1e-12 and f" {own} " in lines[d]
             cut = " ".join(tokens[d][max(st, 0) : max(st, 0) + length + 3])[:snippet_chars] if snippet_chars else ""
             out.append((m, st, whole, cut))
@@ -196,11 +206,12 @@ def _scorer(sizes: list[int], near: float, slack: float | None, snippet_chars: i
     return run
 
 
-def score(docs: DataFrame, index: Index, pairs: DataFrame, *, near: float, window_slack: float | None = None, snippet_chars: int = 0) -> DataFrame:
+def score(docs: DataFrame, index: Index, pairs: DataFrame, *, near: float, window_slack: float | None = None, snippet_chars: int = 0, floor: float = 0.0) -> DataFrame:
     """Matched grams, containment and the contiguous match (looked for from containment ``near`` on) of (doc_key, entry)
-    pairs, with the entries' columns."""
+    pairs, with the entries' columns.  Pairs below ``floor`` in the whole document come out with nothing matched: no window
+    of theirs can reach it."""
     both = spread(docs.select("doc_key", "doc_id", "text").join(pairs, "doc_key").join(index.entries, "entry"), docs)
-    found = both.withColumn("s", _scorer(index.sizes, near, window_slack, snippet_chars)("text", "line", "size", "grams"))
+    found = both.withColumn("s", _scorer(index.sizes, near, window_slack, snippet_chars, floor)("text", "line", "size", "grams"))
     return found.select(
         "item_ids", "entry", "doc_key", "doc_id", (F.col("s.m") / F.col("total")).alias("containment"), F.col("s.m").alias("matched_ngrams"), F.col("total").alias("total_ngrams"),
         F.col("size").alias("ngram_size"), "s.exact", "short", F.col("s.st").alias("window_start"), "s.snippet",
@@ -212,7 +223,7 @@ def scan(docs: DataFrame, index: Index, at: Thresholds | None = None, *, window_
     at = at or Thresholds()
     pairs = save(candidates(docs, index, at.partial), "pairs")
     index.behind.append(pairs)
-    scored = score(docs, index, pairs.df, near=at.near_duplicate, window_slack=window_slack, snippet_chars=snippet_chars)
+    scored = score(docs, index, pairs.df, near=at.near_duplicate, window_slack=window_slack, snippet_chars=snippet_chars, floor=at.partial)
     ranked = scored.withColumn("rank", level_rank(F.col("containment"), F.col("exact"), at)).where("rank > 0")
     return ranked.withColumn("level", level_name(F.col("rank"))).withColumn("item_id", F.explode("item_ids")).select(HIT_COLUMNS)
 
