@@ -12,7 +12,9 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _live: dict[str, SparkSession] = {}
 _own: str | None = None
@@ -42,14 +44,14 @@ def _sweep() -> None:
 
 
 class Saved:
-    """A table written once: ``df`` reads it, ``drop()`` deletes it."""
+    """A table written once: ``df`` reads it, ``rows`` is its number of rows, ``drop()`` deletes it."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, rows: int) -> None:
+        self.spark, self.path, self.schema, self.rows = spark, path, schema, rows
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         _live.pop(self.path, None)
@@ -57,9 +59,10 @@ class Saved:
 
 
 def save(df: DataFrame, tag: str) -> Saved:
-    """Write ``df`` to the shared folder."""
+    """Write ``df`` to the shared folder; its rows are counted while they are written."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     _live[path] = spark
-    df.write.parquet(path)
-    return Saved(spark, path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return Saved(spark, path, df.schema, seen.get["rows"])

@@ -43,7 +43,8 @@ def local(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSessi
 
 
 def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """``df`` over all cores, if its source (``like``, or itself: a plain scan) has partitions for less than half of them, as
-    with one small file; a table of many files is left as it is and not shuffled."""
+    """``df`` over all cores, if the scan of its source (``like``, or itself) has splits for less than half of them, as with
+    one small file; a table of many splits is left as it is and not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * (df if like is None else like).rdd.getNumPartitions() >= cores else df.repartition(cores)
+    splits = (df if like is None else like)._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if 2 * splits >= cores else df.repartition(cores)
