@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,6 +152,18 @@ def fold(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", plain_form(text).casefold()).split())
 
 
+def parts(batch: pa.RecordBatch, text: int, rows: int = 2000, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``chars`` characters of column ``text``; a longer text is a slice
+    by itself."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    o = 0
+    while o < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[o - 1] if o else 0) + chars, side="right"))
+        part = batch.slice(o, max(1, min(rows, most - o)))
+        o += part.num_rows
+        yield part
+
+
 def per_distinct(values: pa.Array | pa.ChunkedArray, f, kind: pa.DataType) -> pa.Array:
     """Apply ``f`` once to each distinct value of an Arrow array; null stays null."""
     if isinstance(values, pa.ChunkedArray):

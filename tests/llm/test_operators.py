@@ -142,18 +142,67 @@ def test_near_duplicates(spark):
     found = neardup.near_duplicates(df, "id", "t", k=3, least=0.5)
     got = [(r["id_a"], r["id_b"]) for r in neardup.id_pairs(found).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    laid_out = neardup.near_duplicates(df, "id", "t", k=3, least=0.5, hot_rows=2, sampled=1)
-    again = [(r["id_a"], r["id_b"]) for r in neardup.id_pairs(laid_out).collect()]
+    laid_out = neardup.near_duplicates(df, "id", "t", k=3, least=0.5, cell=2, part_keys=500)
+    again = [(r["id_a"], r["id_b"]) for r in neardup.id_pairs(laid_out, block=4).collect()]
     assert len(again) == len(set(again)) and set(again) == want
     group = {r["id"]: r["group_id"] for r in neardup.groups(found).collect()}
     assert set(group) == set(sets) and all(group[a] == group[b] for a, b in want)
     assert all(g <= i for i, g in group.items())
     listed = [(" " + a.upper(), b, 1.0) for a, b in sorted(want)[:5]] + [("x", "y", 0.9), ("x", "x", 1.0), (None, "y", 0.2)] + [(b, a, float("nan")) for a, b in sorted(want)[5:7]]
     status = Counter(r["status"] for r in neardup.reconcile(spark.createDataFrame(listed, "id_a string, id_b string, jaccard double"), found).collect())
-    assert status["removed"] == 1 and status["added"] == len(want) - 7 and status["kept"] + status["rescored"] == 7
+    assert status["removed"] == 1 and status["kept"] + status["rescored"] == 7
+    # what is listed, kept or added, leads from every id to all that are linked with it
+    rows_ = [r for r in neardup.reconcile(spark.createDataFrame(listed, "id_a string, id_b string, jaccard double"), found).collect() if r["status"] != "removed"]
+    assert len({(r["id_a"], r["id_b"]) for r in rows_}) == len(rows_) and {(r["id_a"], r["id_b"]) for r in rows_} <= want
+    near: dict = {}
+    for r in rows_:
+        near.setdefault(r["id_a"], set()).add(r["id_b"]), near.setdefault(r["id_b"], set()).add(r["id_a"])
+    for a, b in want:
+        seen, todo = {a}, [a]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x), todo.append(x)
+        assert b in seen
     assert neardup.id_pairs(neardup.near_duplicates(df.limit(0), "id", "t", k=3, least=0.5)).count() == 0
 
 
+def test_no_cell_is_large(spark):
+    """A bucket that holds a third of all rows is parted into cells of bounded size, which compare each pair once."""
+    rows = [(1, i) for i in range(3000)] + [(2 + i % 3000, 5000 + i) for i in range(6000)]
+    out = neardup.cells(spark.createDataFrame(rows, "band long, n long"), 64).toPandas()
+    assert out.groupby(["band", "x", "y"]).size().max() <= 128
+    met = Counter()
+    for _, own in out[out["band"] == 1].groupby(["x", "y"]):
+        at = list(zip(own["n"], own["block"]))
+        one = own["x"].iloc[0] == own["y"].iloc[0]
+        met.update((min(a, b), max(a, b)) for (a, p), (b, q) in itertools.combinations(at, 2) if one or p != q)
+    assert len(met) == 3000 * 2999 // 2 and set(met.values()) == {1}
+
+
+def test_band_blocks_keep_every_shared_key():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lists = [sorted(set(rng.integers(0, 40, rng.integers(1, 4)).tolist())) for _ in range(400)] + [[7, 8]] * 200
+    n = np.cumsum(rng.integers(1, 1 << 20, len(lists)))
+    batch = pa.record_batch([pa.array(n), pa.array(lists, pa.list_(pa.int32()))], ["n", "runs"])
+    want = Counter()
+    own: dict = {}
+    runs_ = np.concatenate([np.array(x, np.uint32) for x in lists])
+    ends = np.cumsum([len(x) for x in lists])
+    keys = neardup.band_keys(neardup.minima(runs_, np.append(0, ends[:-1]), 12), 6, 2) >> np.uint64(16)
+    for row in keys:
+        for k, x in zip(row.tolist(), n.tolist()):
+            own.setdefault(k, []).append(x)
+    want = {(k, x) for k, v in own.items() if len(v) > 1 for x in v}
+    for size in (1 << 21, 6000, 600):
+        blocks = [b for i in range(0, 600, 150) for b in neardup._band_blocks(6, 2, 5, size)(iter([batch.slice(i, 150)]))]
+        table = pa.Table.from_batches(blocks).sort_by("part")
+        got = [(a, b) for o in neardup._shared(iter(table.to_batches(max_chunksize=3))) for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---------------------------------------------------------------- canonical texts, copies
 
 
