@@ -134,16 +134,23 @@ def pieces_of(text: str | None) -> list[str]:
     return _ASCII_PIECES.findall(low) if low.isascii() else tables().pieces.findall(low.replace("_", " "))
 
 
-_FIELD = re.compile(r"\s*[^\W_][^:|\s]{0,39}(?:[^\S\n]+[^:|\s]{1,39}){0,2}[^\S\n]*:.*\S.*", re.S)  # a name has at most three words
 _PARTS = re.compile(r"[\n|]")
 
 
+def _is_field(part: str) -> bool:
+    """Whether a line is ``name: value``: a word stands before its first colon and something after it.  A name may be of any
+    length and of any words."""
+    name, _, value = part.partition(":")
+    return bool(value.strip()) and any(c.isalnum() for c in name)
+
+
 def record_fields(text: str) -> list[str] | None:
-    """The fields of a record card (three or more ``name: value``, parted by line breaks or ``|``), else None."""
+    """The fields of a record card (three or more ``name: value``, parted by line breaks or ``|``), else None.  Prose whose
+    every line has a colon between words is a card too, which only says that its lines may come in any order."""
     if text.count(":") < 3:
         return None
     parts = [p for p in _PARTS.split(text) if p.strip()]
-    return parts if len(parts) >= 3 and all(_FIELD.fullmatch(p) for p in parts) else None
+    return parts if len(parts) >= 3 and all(map(_is_field, parts)) else None
 
 
 def fold(text: str) -> str:

@@ -60,6 +60,11 @@ def test_record_fields():
     assert record_fields("A: 1\n\nB: 2 | C: 3") == ["A: 1", "B: 2 ", " C: 3"]
     assert record_fields("A: 1\nB: 2") is None
     assert record_fields("A: 1\nB: 2\nC: 3\nplain line") is None
+    assert record_fields(": 1\nB: 2\nC: 3") is None and record_fields("A:\nB: 2\nC: 3") is None and record_fields("--: 1\nB: 2\nC: 3") is None
+    long = ["Date of first publication: 1999", f"{'x' * 300} {'y' * 300}: Rome: Italy", "one two three four five six seven: Ann"]
+    for order in itertools.permutations(long):
+        assert record_fields("\n".join(order)) == list(order)
+        assert copies.written_keys(" | ".join(order))["rec"] == copies.written_keys("\n\n".join(long).upper())["rec"]
 
 
 # ---------------------------------------------------------------- top n
