@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from braidsieve.functions.text import gram_hashes
 from braidsieve.llm import text as tx
 from braidsieve.llm.components import connected_components
+from braidsieve.llm.expand import member_pairs
 from braidsieve.operators.skew import skewed_join
 from braidsieve.scratch import Saved, save
 from braidsieve.session import spread
@@ -321,30 +322,13 @@ def near_duplicates(df: DataFrame, id: str, text: str, *, k: int = 5, least: flo
     return NearDuplicates(members.df, pairs.df, [members, pairs])
 
 
-def _sizes(found: NearDuplicates) -> DataFrame:
-    return found.members.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-
-
 def id_pairs(found: NearDuplicates, block: int = 4096) -> DataFrame:
     """(id_a, id_b, jaccard), id_a < id_b, of all ids in one class or in a pair of classes: as many rows as there are pairs of
-    ids, m (m - 1) / 2 of a class of m.  A class of more than ``block`` ids is parted into blocks, and each two blocks
-    meet by themselves.  ``groups`` says the same in one row for each id."""
-    sizes = _sizes(found)
+    ids, m (m - 1) / 2 of a class of m.  ``groups`` says the same in one row for each id."""
+    sizes = found.members.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
     links = found.pairs.unionByName(sizes.where("c > 1").select(F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(1.0).alias("jaccard")))
-    parts = F.ceil(F.col("c") / block).cast("long")
-    blocks = sizes.select("n", parts.alias("k"))
-
-    def side(s: str) -> DataFrame:
-        return blocks.select(F.col("n").alias(f"n_{s}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias(f"p_{s}"))
-
-    wide = links.join(side("a"), "n_a").join(side("b"), "n_b")
-    large = blocks.where("k > 1")
-    in_block = F.when(F.col("k").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.col("k")))
-    placed = found.members.join(large, "n", "left").select("n", "id", in_block.alias("p"))
-    one = placed.select(F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("id").alias("a"))
-    two = placed.select(F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("id").alias("b"))
-    both = wide.join(one, ["n_a", "p_a"]).join(two, ["n_b", "p_b"]).where((F.col("n_a") != F.col("n_b")) | (F.col("a") < F.col("b")))
-    return both.where("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "jaccard")
+    both = member_pairs(links, found.members, ["n"], "id", sizes, block).where("n_a <> n_b or id_a < id_b").where("id_a <> id_b")
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard")
 
 
 def groups(found: NearDuplicates) -> DataFrame:
