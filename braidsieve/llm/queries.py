@@ -84,9 +84,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's share of repetition and of content; documents keep at least half content to be retained."""
+    """Every document's share of repetition and of content, and whether the field retains it."""
     out = repetition.repetition(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "words", "lines", "repeated_share", "content_share", (F.col("content_share") >= 0.5).alias("retained"))
+    turned_away = (F.col("words") >= repetition.LEAST_WORDS) & (F.col("content_share") <= repetition.retention_cut())
+    return out.select("doc_id", "words", "lines", "repeated_share", "content_share", (~turned_away).alias("retained"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

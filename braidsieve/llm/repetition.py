@@ -2,14 +2,15 @@
 
 A document is a sequence of lines (long lines are parted at sentence ends and after ``LINE_WORDS`` words).  A
 linear-chain conditional random field labels each line as content or as boilerplate, that is as a repetition of earlier
-text of the same document, by Viterbi decoding; the share left as content decides retention.  The exact share of
-repeated k-runs comes out beside it.
+text of the same document, by Viterbi decoding; the share of words left in content lines decides retention.  The exact
+share of repeated k-runs comes out beside it.
 
-The field is fitted here, by gradient ascent on the conditional likelihood, on ``FIT_PAGES`` generated pages with a
-fixed seed; fitting never looks at the data.  ``sure_from`` gives the repeated share from which a line is boilerplate
-in every best labelling, whatever its neighbours: the margin of its own weights exceeds all that transitions can add.
-Thus a document whose repeated share is t has at least (t - c) / (1 - c) of its runs in lines marked as boilerplate,
-c = ``SURE``, and the mark can serve as a filter that loses nothing.
+A line's features are how many of its words, pairs and triples of words stand earlier in the document (by steps), whether
+it opens as an earlier line does, whether all of it stands earlier, and whether it is short.  The field is fitted here, by
+gradient ascent on the conditional likelihood, on ``FIT_PAGES`` generated pages with a fixed seed, whose lines are
+labelled by how they were made: a line is boilerplate if at least a quarter of it was copied.  ``retention_cut`` is chosen
+on ``CUT_PAGES`` other generated pages: the greatest content share of any of them that repeats enough, and ``MARGIN``
+more.  Neither ever looks at the data.
 
 Defined results: null, empty and wordless texts have no words, content share 1 and repeated share 0.  Runs are told
 apart by 64-bit hashes within one document.
@@ -24,7 +25,6 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,17 +33,41 @@ from braidsieve.llm import text as tx
 from braidsieve.session import spread
 
 LINE_WORDS = 32
-FIT_PAGES = 150
-SURE = 0.15
+FIT_PAGES = 200
+CUT_PAGES = 2000
+MARGIN = 0.1
+LEAST, LEAST_WORDS = 0.3, 20
 _BREAKS = ("\n", ".", "!", "?")
 
 
 # ---------------------------------------------------------------- the field
 
 
-def line_features(share: np.ndarray, copy: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """share: of a line's runs that stand earlier in its document; copy: the whole line does; words: of the line."""
-    return np.stack([np.ones(len(share)), share, share >= SURE, share >= 0.5, copy, words < 5, share == 0], axis=1).astype(np.float64)
+STEPS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999)
+
+
+def line_features(codes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """lines x features; codes: the words of documents one after another, start: where each line begins."""
+    n = len(codes)
+    lengths = np.diff(np.append(start, n))
+    line = np.repeat(np.arange(len(start)), lengths)
+    cols = [np.ones(len(start))]
+    opens = np.zeros(len(start), bool)
+    for k in (1, 2, 3):
+        at, key = run_keys(codes, doc, k)
+        again = _seen_before(key)
+        own = np.bincount(line[at], minlength=len(start))
+        share = np.bincount(line[at], weights=again, minlength=len(start)) / np.maximum(own, 1)
+        cols += [share > step for step in STEPS]
+        if k == 3:
+            whole = np.zeros(n, bool)
+            whole[at] = again
+            opens = whole[start] if n else opens
+    place = np.arange(n) - np.repeat(start, lengths)
+    with np.errstate(over="ignore"):
+        summed = np.add.reduceat(_mix(_mix(codes) ^ _mix(place)), start) if n else np.empty(0, np.uint64)
+    copy = _seen_before(_mix(summed ^ _mix(doc[start])))
+    return np.stack([*cols, opens, copy, lengths < 5], axis=1).astype(np.float64)
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -75,30 +99,51 @@ def viterbi(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
-def _page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a generated page: fresh lines, and runs of lines that repeat earlier ones with edits."""
-    n = int(rng.integers(4, 40))
-    rate, stay = rng.choice([0.0, 0.05, 0.3]), 0.7
-    label, now = np.zeros(n, np.int64), 0
-    for i in range(1, n):
-        now = int(rng.random() < (stay if now else rate))
-        label[i] = now
-    words = rng.integers(2, 30, n)
-    runs = np.maximum(words, 1)
-    edits = rng.integers(0, 5, n)
-    repeated = np.maximum(0.0, 1 - edits * 5 / runs)
-    repeated = np.where((repeated < SURE) & (words > 5), SURE + 0.1 * rng.random(n), repeated)
-    # fresh lines share a stock phrase with earlier lines now and then
-    fresh = np.where(rng.random(n) < 0.2, rng.integers(1, 3, n) / runs, 0.0) * (runs > 14)
-    share = np.where(label == 1, np.where(words > 5, repeated, 1.0), np.minimum(fresh, 0.14))
-    return line_features(share, (label == 1) & (edits == 0), words), label
+def _page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, line starts and labels of a generated page: fresh lines, lines copied from earlier ones with edits, and lines
+    of one phrase again and again, over vocabularies of several sizes."""
+    top = int(rng.choice([400, 3000, 20000]))
+    weights = 1 / (np.arange(top) + 10.0)
+    weights = np.cumsum(weights / weights.sum())
+
+    def fresh(n: int) -> np.ndarray:
+        return np.searchsorted(weights, rng.random(n)).astype(np.int64)
+
+    stock = [fresh(int(rng.integers(3, 7))) for _ in range(3)]
+    rate, phrases = rng.choice([0.0, 0.03, 0.15, 0.4]), rng.choice([0.0, 0.0, 0.1])
+    lines: list[np.ndarray] = []
+    label: list[int] = []
+    now = False
+    for i in range(int(rng.integers(2, 45))):
+        now = i > 0 and rng.random() < (0.7 if now else rate)
+        size = int(rng.integers(2, LINE_WORDS + 1))
+        if now:
+            new = lines[int(rng.integers(i)) if rng.random() < 0.6 else 0].copy()
+            edits = rng.integers(0, len(new), int(rng.integers(0, 5)))
+            new[edits] = fresh(len(edits))
+            copied = 1 - len(np.unique(edits)) / len(new)
+        elif rng.random() < phrases:
+            unit = fresh(int(rng.integers(2, 8)))
+            new = np.resize(unit, max(size, 2 * len(unit)))[:LINE_WORDS]
+            copied = 1 - len(unit) / len(new)
+        else:
+            new, copied = fresh(size), 0.0
+            if rng.random() < 0.15:
+                phrase = stock[int(rng.integers(3))]
+                new = np.concatenate([new[: size // 2], phrase, new[size // 2 :]])[:LINE_WORDS]
+                copied = min(1.0, len(phrase) / len(new))
+        lines.append(new)
+        label.append(int(copied >= 0.25))
+    lengths = np.array([len(x) for x in lines])
+    return np.concatenate(lines), np.cumsum(lengths) - lengths, np.array(label, np.int64)
 
 
 @cache
 def line_model(seed: int = 20, rounds: int = 160, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x 2) and moves (2 x 2), fitted by forward-backward gradients on generated pages."""
     rng = np.random.default_rng(seed)
-    pages = [_page(rng) for _ in range(FIT_PAGES)]
+    made = [_page(rng) for _ in range(FIT_PAGES)]
+    pages = [(line_features(codes, np.zeros(len(codes), np.int64), start), y) for codes, start, y in made]
     longest, width = max(len(y) for _, y in pages), pages[0][0].shape[1]
     x = np.zeros((FIT_PAGES, longest, width))
     y = np.zeros((FIT_PAGES, longest), np.int64)
@@ -129,17 +174,18 @@ def line_model(seed: int = 20, rounds: int = 160, rate: float = 0.5, decay: floa
     return w, move
 
 
-def sure_from(model: tuple[np.ndarray, np.ndarray]) -> float:
-    """The least repeated share from which a line is always marked, over lines of any other features (1.0 if none)."""
-    w, move = model
-    sway = max(move[a, 0] + move[0, b] - move[a, 1] - move[1, b] for a in (0, 1) for b in (0, 1))
-    sway = max(sway, *(move[0, b] - move[1, b] for b in (0, 1)), *(move[a, 0] - move[a, 1] for a in (0, 1)), 0.0)
-    for s in np.linspace(0, 1, 101):
-        x = np.concatenate([line_features(np.array([r, r]), np.array([c, c]), np.array([3, 20])) for r in np.linspace(s, 1, 41) for c in (False, True)])
-        m = x @ w
-        if (m[:, 1] - m[:, 0]).min() > sway:
-            return float(s)
-    return 1.0
+@cache
+def retention_cut(k: int = 5, seed: int = 21) -> float:
+    """The greatest content share of a generated page of at least ``LEAST_WORDS`` words whose repeated share is ``LEAST``
+    or more, and a margin for pages unlike these: a document with more content than that is retained."""
+    rng = np.random.default_rng(seed)
+    pages = [_page(rng)[:2] for _ in range(CUT_PAGES)]
+    sizes = np.array([len(codes) for codes, _ in pages])
+    before = np.cumsum(sizes) - sizes
+    start = np.concatenate([s + o for (_, s), o in zip(pages, before)])
+    found = judge(np.concatenate([codes for codes, _ in pages]), np.repeat(np.arange(CUT_PAGES), sizes), start, CUT_PAGES, k, line_model())
+    repeats = (found["words"] >= LEAST_WORDS) & (found["repeated"] >= LEAST * found["runs"])
+    return float((found["content"] / found["words"])[repeats].max()) + MARGIN
 
 
 # ---------------------------------------------------------------- documents
@@ -161,8 +207,33 @@ def _seen_before(key: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_keys(codes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the k-runs within documents begin, and a number for each run of each document."""
+    value, odd = _mix(codes), np.uint64(0x5851F42D4C957F2D)
+    full = max(0, len(codes) - k + 1)
+    run = np.zeros(full, np.uint64)
+    for j in range(k):
+        run = run * odd + value[j : j + full]
+    at = np.flatnonzero(doc[:full] == doc[k - 1 : k - 1 + full])
+    return at, _mix(run[at] ^ _mix(doc[at]))
+
+
+def judge(codes: np.ndarray, doc: np.ndarray, start: np.ndarray, docs: int, k: int, model: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """words, runs, repeated (runs), content (words in content lines), lines of each of ``docs`` documents; codes: their words
+    one after another, doc: each word's document, start: where lines begin."""
+    lengths = np.diff(np.append(start, len(codes)))
+    at, key = run_keys(codes, doc, k)
+    runs = np.bincount(doc[at], minlength=docs)
+    repeated = np.bincount(doc[at], weights=_seen_before(key), minlength=docs).astype(np.int64)
+    w, move = model
+    lines = np.bincount(doc[start], minlength=docs)
+    label = viterbi(line_features(codes, doc, start) @ w, move, lines)
+    content = np.bincount(doc[start], weights=(1 - label) * lengths, minlength=docs).astype(np.int64)
+    return {"words": np.bincount(doc, minlength=docs), "runs": runs, "repeated": repeated, "content": content, "lines": lines}
+
+
 def measure(texts: list[str | None], k: int, model: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
-    """words, runs, repeated (runs), marked (runs in boilerplate lines), content (words in content lines), lines of each text."""
+    """``judge`` of texts."""
     number: dict[str, int] = defaultdict(count(len(_BREAKS)).__next__, {b: i for i, b in enumerate(_BREAKS)})
     pieces = [tx.pieces_of(t) for t in texts]
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -177,65 +248,26 @@ def measure(texts: list[str | None], k: int, model: tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(new)
     inside = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
     new |= inside % LINE_WORDS == 0
-    start = np.flatnonzero(new)
-    lengths = np.diff(np.append(start, n))
-    line = np.repeat(np.arange(len(start)), lengths)
-    words = np.bincount(doc, minlength=len(texts))
-
-    value = _mix(codes)
-    odd = np.uint64(0x5851F42D4C957F2D)
-    full = max(0, n - k + 1)
-    run = np.zeros(full, np.uint64)
-    for j in range(k):
-        run = run * odd + value[j : j + full]
-    whole = doc[:full] == doc[k - 1 : k - 1 + full]
-    at = np.flatnonzero(whole)
-    again = _seen_before(_mix(run[at] ^ _mix(doc[at])))
-    runs = np.bincount(doc[at], minlength=len(texts))
-    repeated = np.bincount(doc[at], weights=again, minlength=len(texts)).astype(np.int64)
-
-    line_runs = np.bincount(line[at], minlength=len(start))
-    line_again = np.bincount(line[at], weights=again, minlength=len(start))
-    if n:
-        with np.errstate(over="ignore"):
-            summed = np.add.reduceat(_mix(value ^ _mix(np.arange(n) - np.repeat(start, lengths))), start)
-    else:
-        summed = np.empty(0, np.uint64)
-    copy = _seen_before(_mix(summed ^ _mix(doc[start])))
-    x = line_features(line_again / np.maximum(line_runs, 1), copy, lengths)
-    w, move = model
-    lines = np.bincount(doc[start], minlength=len(texts))
-    label = viterbi(x @ w, move, lines)
-    marked = np.bincount(doc[start], weights=label * line_runs, minlength=len(texts)).astype(np.int64)
-    content = np.bincount(doc[start], weights=(1 - label) * lengths, minlength=len(texts)).astype(np.int64)
-    return {"words": words, "runs": runs, "repeated": repeated, "marked": marked, "content": content, "lines": lines}
+    return judge(codes, doc, np.flatnonzero(new), len(texts), k, model)
 
 
-SCHEMA = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("words", "lines", "runs", "repeated_runs", "marked_runs")]
-    + [T.StructField(c, T.DoubleType()) for c in ("repeated_share", "content_share")]
-)
+SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("words", "lines", "runs", "repeated_runs")] + [T.StructField(c, T.DoubleType()) for c in ("repeated_share", "content_share")])
 
 
 def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, batch_docs: int = 2000, batch_chars: int = 4_000_000) -> DataFrame:
-    """Rows (doc_id, words, lines, runs, repeated_runs, marked_runs, repeated_share, content_share), one for each document.
+    """Rows (doc_id, words, lines, runs, repeated_runs, repeated_share, content_share), one for each document.
     Nothing is shuffled: a document is judged where it is read."""
     model = line_model()
     docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            o = 0
-            while o < batch.num_rows:
-                most = int(np.searchsorted(ends, (ends[o - 1] if o else 0) + batch_chars, side="right"))
-                part = batch.slice(o, max(1, min(batch_docs, most - o)))
-                o += part.num_rows
+            for part in tx.parts(batch, 1, batch_docs, batch_chars):
                 m = measure(part.column(1).to_pylist(), k, model)
                 yield pa.record_batch(
                     [
                         part.column(0),
-                        *(pa.array(m[c].astype(np.int64)) for c in ("words", "lines", "runs", "repeated", "marked")),
+                        *(pa.array(m[c].astype(np.int64)) for c in ("words", "lines", "runs", "repeated")),
                         pa.array(m["repeated"] / np.maximum(m["runs"], 1)),
                         pa.array(np.where(m["words"] > 0, m["content"] / np.maximum(m["words"], 1), 1.0)),
                     ],
@@ -245,12 +277,11 @@ def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *SCHEMA.fields]))
 
 
-def repetitive(documents: DataFrame, *, least: float = 0.3, least_words: int = 20, **how) -> DataFrame:
-    """The documents of at least ``least_words`` words whose repeated share is at least ``least``: those with enough of their
-    runs in lines marked as boilerplate, held against the exact share."""
-    if sure_from(line_model()) > SURE:
-        raise ValueError("the field does not mark all lines that repeat enough")
-    gate = max(0.0, (least - SURE) / (1 - SURE))
-    of = repetition(documents, **how)
-    marked = of.where((F.col("words") >= least_words) & (F.col("marked_runs") >= F.lit(gate) * F.col("runs") - 1e-9) & (F.col("marked_runs") > 0))
-    return marked.where(F.col("repeated_runs") >= F.lit(least) * F.col("runs") - 1e-9)
+def not_retained(measured: DataFrame, cut: float | None = None) -> DataFrame:
+    """The documents that the field alone turns away: enough words and too little content."""
+    return measured.where((F.col("words") >= LEAST_WORDS) & (F.col("content_share") <= F.lit(retention_cut() if cut is None else cut)))
+
+
+def repetitive(documents: DataFrame, *, least: float = LEAST, **how) -> DataFrame:
+    """The documents that are not retained, held against the exact share of repeated runs."""
+    return not_retained(repetition(documents, **how)).where(F.col("repeated_runs") >= F.lit(least) * F.col("runs") - 1e-9)
