@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +44,13 @@ def encoding(path: str, pattern: str):
 
 
 def count_tokens(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, n_tokens); 0 for null texts."""
+    """(doc_id, n_tokens); 0 for null texts.  The rank file is read on the driver and sent to the workers by Spark."""
     docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    docs.sparkSession.sparkContext.addFile(path)  # a file added before is not sent again
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        encode = encoding(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
@@ -115,8 +118,9 @@ def _repack(sizes: np.ndarray, bins: np.ndarray, made: int, capacity: int) -> np
     return out
 
 
-def pack_shard(ids: list, tokens: np.ndarray, capacity: int) -> pd.DataFrame:
-    """(doc_id, piece, n_tokens, bin, start) of one shard; bins are numbered from 0 without gaps."""
+def pack_shard(tokens: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
+    """own (the document's place in ``tokens``), piece, n_tokens, bin and start of every piece of one shard; bins are
+    numbered from 0 without gaps, -1 where there are no tokens."""
     tokens = np.asarray(tokens, np.int64)
     pieces = np.maximum(1, -(-tokens // capacity))
     own = np.repeat(np.arange(len(tokens)), pieces)
@@ -135,31 +139,29 @@ def pack_shard(ids: list, tokens: np.ndarray, capacity: int) -> pd.DataFrame:
     start[by] = run - np.repeat(run[first], np.diff(np.append(np.flatnonzero(first), len(by)))) if len(by) else run
     full_bin, full_start = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
     full_bin[some], full_start[some] = bins, start
-    return pd.DataFrame({"own": own, "piece": piece, "n_tokens": size, "bin": full_bin, "start": full_start}).assign(doc_id=[ids[i] for i in own])
+    return {"own": own, "piece": piece, "n_tokens": size, "bin": full_bin, "start": full_start}
 
 
 def pack(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, shard_docs: int = 20_000, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, piece, n_tokens, sequence, start): every document's place; ``sequence`` is unique over all shards."""
+    """(doc_id, piece, n_tokens, sequence, start): every document's place; ``sequence`` is unique over all shards.  There is a
+    partition for each shard, so shards are packed side by side."""
     if capacity < 1 or shard_docs < 1:
         raise ValueError("capacity and shard_docs must be at least 1")
     shards = max(1, math.ceil(documents.count() / shard_docs))
     sized = count_tokens(documents, doc_id=doc_id, text=text, path=path, pattern=pattern)
-    # the row's number within its hash keeps repeated and null ids apart, so that a shard's order is fixed
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable", na_position="first")
-        shard = int(pdf["shard"].iloc[0])
-        ids = [None if pd.isna(x) else x for x in pdf["doc_id"]]
-        out = pack_shard(ids, pdf["n_tokens"].to_numpy(), capacity)
-        seq = pd.array(np.where(out["bin"] < 0, 0, out["bin"] + (shard << 32)), "Int64")
-        seq[(out["bin"] < 0).to_numpy()] = pd.NA
-        out["sequence"] = seq
-        return out[["doc_id", "piece", "n_tokens", "sequence", "start"]]
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+
+    def one(table: pa.Table) -> pa.Table:
+        # rows that agree in id and size are alike, so the order within a shard is fixed
+        table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
+        shard = table.column("shard")[0].as_py()
+        out = pack_shard(table.column("n_tokens").to_numpy(), capacity)
+        sequence = pa.array(out["bin"] + (shard << 32), pa.int64(), mask=out["bin"] < 0)
+        return pa.table([table.column("doc_id").take(pa.array(out["own"])), pa.array(out["piece"]), pa.array(out["n_tokens"]), sequence, pa.array(out["start"])], ["doc_id", "piece", "n_tokens", "sequence", "start"])
 
     kind = sized.schema["doc_id"]
     fields = [T.StructField(c, T.LongType()) for c in ("piece", "n_tokens", "sequence", "start")]
-    return sharded.groupBy("shard").applyInPandas(one, T.StructType([kind, *fields]))
+    return sharded.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(one, T.StructType([kind, *fields]))
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -289,6 +289,11 @@ def test_packing(spark):
     assert sum(r["n_tokens"] for r in out) == sum(len(enc.encode_ordinary(t)) for t in texts if t)
     assert all(r["n_tokens"] == 2048 for r in out for s in out if r["doc_id"] == s["doc_id"] and r["piece"] < s["piece"] and s["n_tokens"] and r["n_tokens"] > 1500)
     assert packing.pack(df.limit(0)).count() == 0
+    # ids beyond 2^53 stay as they are beside a null, and every shard has a partition of its own
+    far = spark.createDataFrame([((1 << 60) + 1, "a b"), ((1 << 60) + 2, "c"), (None, "d e f")], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack(far, shard_docs=10).collect()} == {(1 << 60) + 1, (1 << 60) + 2, None}
+    own = packing.pack(df, shard_docs=7).where("sequence is not null").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count_distinct(F.shiftright("sequence", 32)).alias("shards")).collect()
+    assert len(own) > 1 and all(r["shards"] == 1 for r in own)
 
 
 def test_sum_of_squares_is_close_to_full():
@@ -299,8 +304,7 @@ def test_sum_of_squares_is_close_to_full():
     for s, b in zip(sizes, bins.tolist()):
         fill[b] += s
     assert max(fill.values()) <= 2048 and made == len(fill)
-    frame = packing.pack_shard(list(range(3000)), sizes, 2048)
-    assert frame["bin"].nunique() <= -(-sum(sizes) // 2048) + 2
+    assert len(set(packing.pack_shard(sizes, 2048)["bin"].tolist())) <= -(-sum(sizes) // 2048) + 2
 
 
 # ---------------------------------------------------------------- leaks
