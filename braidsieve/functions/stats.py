@@ -34,9 +34,9 @@ def wilson_interval(k: int, n: int, z: float = 1.96) -> tuple[float, float]:
 
 
 def newcombe(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column, Column]:
-    """Difference of two shares with its hybrid-score interval."""
+    """Difference of two shares with its hybrid-score interval; null where there is nothing to have a share of."""
     (l1, h1), (l2, h2) = wilson(k1, n1), wilson(k2, n2)
-    p1, p2 = k1 / n1, k2 / n2
+    p1, p2 = k1 / F.nullif(n1, F.lit(0)), k2 / F.nullif(n2, F.lit(0))
     low = p1 - p2 - F.sqrt((p1 - l1) * (p1 - l1) + (h2 - p2) * (h2 - p2))
     high = p1 - p2 + F.sqrt((h1 - p1) * (h1 - p1) + (p2 - l2) * (p2 - l2))
     return p1 - p2, low, high

@@ -18,7 +18,8 @@ COLUMNS = ["method", "spec", "kind", "intensity", "planted", "detected", "recall
 
 
 def compare_methods(
-    items: DataFrame, corpus: PlantedCorpus, *, ns: tuple[int, ...] = (2, 3, 5), windowed: tuple[tuple[int, float], ...] = ((3, 1.5),), fuzzy_ks: tuple[int, ...] = (2, 3), least: float = 0.3, view: str = QUESTION
+    items: DataFrame, corpus: PlantedCorpus, *, ns: tuple[int, ...] = (2, 3, 5), windowed: tuple[tuple[int, float], ...] = ((3, 1.5),), fuzzy_ks: tuple[int, ...] = (2, 3), least: float = 0.3, view: str = QUESTION,
+    hashes: int = 64, bands: int = 32, seed: int = 0,
 ) -> DataFrame:
     """Recall of each condition and flagged controls for each method, at one threshold; seconds include building the index."""
     grid = [(least, max(0.8, least))]
@@ -38,7 +39,7 @@ def compare_methods(
         add(name, began, score_corpus(index, corpus, slack, least), index.item_ids())
     for k in fuzzy_ks:
         began = time.perf_counter()
-        hits = fuzzy_scan(corpus.documents, items, view=view, k=k, least=least)
+        hits = fuzzy_scan(corpus.documents, items, view=view, k=k, least=least, hashes=hashes, bands=bands, seed=seed)
         scores = save(hits.select("doc_id", "item_id", "containment", F.lit(False).alias("exact")), "fuzzy").df
         entries, _ = fuzzy_entries(items, view=view, k=k)
         add(f"fuzzy k={k}", began, scores, entries.select(F.explode("item_ids").alias("item_id")))

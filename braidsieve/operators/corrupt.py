@@ -24,35 +24,56 @@ KINDS = ("verbatim", "format_noise", "punct_delete", "choice_shuffle", "labelled
 GRADED = ("word_delete", "word_substitute", "truncate", "html_split")
 
 
+# What an intensity of each graded kind must be.
+_WITHIN = {kind: (lambda x: 0 <= x <= 1, "a share within [0, 1]") for kind in KINDS} | {"html_split": (lambda x: x >= 1 and x == int(x), "a whole number of breaks")}
+
+
 @dataclass(frozen=True)
 class Spec:
     kind: str
     intensity: float | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in KINDS:
-            raise ValueError(f"unknown kind {self.kind!r}")
-        x = self.intensity
-        if x is None:
-            if self.kind in GRADED:
-                raise ValueError(f"{self.kind} needs an intensity")
-        elif self.kind == "html_split":
-            if x < 1 or x != int(x):
-                raise ValueError("html_split needs a whole number of breaks")
-        elif not 0 <= x <= 1:
-            raise ValueError(f"{self.kind} needs an intensity within [0, 1]")
+        if self.kind not in _WITHIN:
+            raise ValueError(f"there is no edit {self.kind!r}")
+        fits, what = _WITHIN[self.kind]
+        missing = self.intensity is None and self.kind in GRADED
+        if missing or not (self.intensity is None or fits(self.intensity)):
+            raise ValueError(f"{self.kind} needs {what}, not {self.intensity}")
 
     @property
     def label(self) -> str:
         return self.kind if self.intensity is None else f"{self.kind}@{self.intensity:g}"
 
 
+# The 20 conditions of an evaluation.
+CONDITIONS = """
+verbatim
+format_noise
+punct_delete
+word_delete 0.05
+word_delete 0.1
+word_delete 0.2
+word_delete 0.3
+word_substitute 0.05
+word_substitute 0.1
+word_substitute 0.2
+word_substitute 0.3
+truncate 0.8
+truncate 0.6
+number_change
+choice_shuffle
+labelled_dot
+labelled_paren
+html_wrap
+html_split 1
+html_split 3
+"""
+
+
 def default_specs() -> list[Spec]:
-    """The 20 conditions of an evaluation."""
-    edits = [Spec(kind, rate) for kind in ("word_delete", "word_substitute") for rate in (0.05, 0.1, 0.2, 0.3)]
-    plain = [Spec(k) for k in ("verbatim", "format_noise", "punct_delete")]
-    rest = [Spec("truncate", 0.8), Spec("truncate", 0.6), *[Spec(k) for k in ("number_change", "choice_shuffle", "labelled_dot", "labelled_paren", "html_wrap")], Spec("html_split", 1), Spec("html_split", 3)]
-    return plain + edits + rest
+    """The conditions of ``CONDITIONS``."""
+    return [Spec(kind, float(x) if x else None) for kind, _, x in (line.partition(" ") for line in CONDITIONS.split("\n") if line)]
 
 
 # ---------------------------------------------------------------- edits without chance
@@ -76,6 +97,7 @@ def _without_marks() -> Column:
 # ---------------------------------------------------------------- edits by chance
 
 _WORD = re.compile(r"\S+")
+# Fixed value: what counts as one number.
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _GAPS = (" ", "   ", "\t", " ", "\n", "  ")
 _MARKS = ",;:!?\"')"

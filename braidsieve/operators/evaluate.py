@@ -19,6 +19,7 @@ from braidsieve.operators.plant import PlantedCorpus
 from braidsieve.scratch import save
 
 
+# The fields of an operating point's file.
 @dataclass(frozen=True)
 class OperatingPoint:
     n: int
@@ -35,8 +36,11 @@ class OperatingPoint:
 
     @staticmethod
     def from_json(text: str) -> OperatingPoint:
+        return OperatingPoint.from_record(json.loads(text))
+
+    @staticmethod
+    def from_record(found: dict) -> OperatingPoint:
         """Other keys, such as a context, are passed over; a missing window_slack is none."""
-        found = json.loads(text)
         return OperatingPoint(**{k: found[k] for k in OperatingPoint.__dataclass_fields__ if k in found})
 
 
@@ -88,7 +92,31 @@ def macro_recall(summary: DataFrame) -> DataFrame:
     return summary.where("planted > 0").groupBy("partial", "near_duplicate").agg(F.avg("recall").alias("macro_recall"))
 
 
-SWEEP = ["n", "stop_ngram_k", "view", "partial", "near_duplicate", "spec", "kind", "intensity", "planted", "detected", "exact", "recall", "recall_low", "recall_high", "mean_containment", "control_docs", "control_flagged", "control_fpr", "control_fpr_low", "control_fpr_high", "foreign_hits", "unindexed", "window_slack"]
+# The columns of a sweep's file, in its order.
+SWEEP_SCHEMA = (
+    "n int, stop_ngram_k int, view string, partial double, near_duplicate double, spec string, kind string, intensity double, planted bigint, detected bigint, exact bigint, "
+    "recall double, recall_low double, recall_high double, mean_containment double, control_docs bigint, control_flagged bigint, control_fpr double, control_fpr_low double, control_fpr_high double, "
+    "foreign_hits bigint, unindexed bigint, window_slack double"
+)
+SWEEP = [part.split()[0] for part in SWEEP_SCHEMA.split(", ")]
+
+
+def as_sweep_rows(summary: DataFrame, at: OperatingPoint) -> DataFrame:
+    """A summary as rows of a sweep."""
+    return summary.withColumns({"n": F.lit(at.n), "stop_ngram_k": F.lit(at.stop_ngram_k).cast("int"), "view": F.lit(at.view), "window_slack": F.lit(at.window_slack).cast("double")}).select(SWEEP)
+
+
+def summary_record(summary: DataFrame) -> dict:
+    """A summary at one pair of thresholds (a row for each condition) as one nested record."""
+    rows = [r.asDict() for r in summary.orderBy("spec").collect()]
+    whole = ("control_docs", "control_flagged", "control_fpr", "control_fpr_low", "control_fpr_high", "foreign_hits", "unindexed")
+    own = ("spec", "kind", "intensity", "planted", "detected", "exact", "recall", "recall_low", "recall_high", "mean_containment")
+    counted = [r["recall"] for r in rows if r["planted"]]
+    return {
+        "thresholds": {k: rows[0][k] for k in ("partial", "near_duplicate")} if rows else {},
+        "conditions": [{k: r[k] for k in own} for r in rows],
+        "macro_recall": sum(counted) / len(counted) if counted else 0.0,
+    } | ({k: rows[0][k] for k in whole} if rows else {})
 
 
 def sweep(
@@ -113,10 +141,8 @@ def sweep(
                 index = build_index(items, view=view, n=n, stop_k=stop_k)
                 for slack in window_slacks:
                     scores = score_corpus(index, corpus, slack, min(partials))
-                    rows = summarize(corpus, scores, index.item_ids(), grid).withColumns(
-                        {"n": F.lit(n), "stop_ngram_k": F.lit(stop_k).cast("int"), "view": F.lit(view), "window_slack": F.lit(slack).cast("double")}
-                    )
-                    out = rows.select(SWEEP) if out is None else out.unionByName(rows.select(SWEEP))
+                    rows = as_sweep_rows(summarize(corpus, scores, index.item_ids(), grid), OperatingPoint(n, stop_k, view, 0.0, 0.0, 0.0, 0.0, slack))
+                    out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -6,6 +6,8 @@ and orders the corpus, doc_id is what a result names.  A null id becomes ``row-{
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,18 @@ def corpus(df: DataFrame, key: str, id: str, text: str = "text", tokens: str | N
     return df.select(F.col(key).alias("doc_key"), name.alias("doc_id"), F.col(text).alias("text"), *more)
 
 
+def last_within(docs: DataFrame, max_docs: int | None = None, max_tokens: int | None = None) -> Any:
+    """The last doc_key of ``within_budget``; None if there is none."""
+    return within_budget(docs, max_docs, max_tokens).agg(F.max("doc_key")).first()[0]
+
+
 def within_budget(docs: DataFrame, max_docs: int | None = None, max_tokens: int | None = None) -> DataFrame:
     """The first documents by doc_key, until a budget is used up: a document is taken while the tokens of those before it are
     below the budget, so the one that crosses it is kept.
 
     Only keys and token counts are moved to find the last key; the documents are then filtered by it at the scan."""
-    out = docs
-    if max_tokens is not None:
-        last = running_before(docs, "doc_key", F.col("tokens")).where(F.col("before") < max_tokens).agg(F.max("doc_key")).first()[0]
-        out = out.where(F.col("doc_key") <= last if last is not None else F.lit(False))
-    if max_docs is not None:
-        out = out.orderBy("doc_key").limit(max_docs)
-    return out
+    for amount, most in ((F.lit(1), max_docs), (F.col("tokens") if max_tokens is not None else None, max_tokens)):
+        if most is not None:
+            last = running_before(docs, "doc_key", amount).where(F.col("before") < most).agg(F.max("doc_key")).first()[0]
+            docs = docs.where(F.col("doc_key") <= last if last is not None else F.lit(False))
+    return docs

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from braidsieve.functions.hashing import unit_column
 from braidsieve.functions.stats import wilson
 from braidsieve.operators.keystats import LEVEL_NAMES, read_level
+from braidsieve.scratch import save
 
 # The labels a hit may get, and their one-letter keys.
 LABELS = ("true_contamination", "shared_source_text", "coincidental", "benign_discussion")
@@ -67,15 +67,21 @@ def relabelled(hits: DataFrame) -> DataFrame:
     return ends.where("n > 1").drop("n")
 
 
+def _drawn(seed: int) -> Column:
+    """A seeded order of hits."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col("hit_id").cast("string")))
+
+
 def label_sample(hits: DataFrame, top: int = 20, random: int = 20, seed: int = 11) -> DataFrame:
-    """Of each stratum the ``top`` hits by containment and ``random`` others by a seeded hash of the hit's id: the hits with
-    ``part`` (top or random).  Per stratum at most top + random rows are ranked in the second window."""
-    nulls_last = F.col("containment").desc_nulls_last()
-    placed = hits.withColumn("__n", F.row_number().over(W.Window.partitionBy("stratum").orderBy(nulls_last, "item_id", "doc_id", "hit_id")))
-    drawn = placed.withColumn("__u", F.when(F.col("__n") > top, F.xxhash64(F.lit(seed), "hit_id")))
-    others = F.row_number().over(W.Window.partitionBy("stratum", F.col("__n") > top).orderBy("__u", "hit_id"))
-    kept = drawn.withColumn("__o", others).where((F.col("__n") <= top) | (F.col("__o") <= random))
-    return kept.withColumn("part", F.when(F.col("__n") <= top, "top").otherwise("random")).drop("__n", "__o", "__u")
+    """Of each stratum the ``top`` hits by containment and ``random`` others in a seeded order of their ids (which are unique):
+    the hits with ``part`` (top or random).  Both are limited ranks, which Spark cuts in every task before it moves rows:
+    no task sees a stratum as a whole."""
+    by = W.Window.partitionBy("stratum")
+    strong = by.orderBy(F.col("containment").desc_nulls_last(), "item_id", "doc_id", "hit_id")
+    first = hits.withColumn("__n", F.row_number().over(strong)).where(F.col("__n") <= top).drop("__n")
+    rest = hits.join(first.select("hit_id"), "hit_id", "left_anti")
+    others = rest.withColumn("__n", F.row_number().over(by.orderBy(_drawn(seed), "hit_id"))).where(F.col("__n") <= random).drop("__n")
+    return first.withColumn("part", F.lit("top")).unionByName(others.withColumn("part", F.lit("random")))
 
 
 def first_of_pairs(hits: DataFrame) -> DataFrame:
@@ -84,18 +90,31 @@ def first_of_pairs(hits: DataFrame) -> DataFrame:
     return hits.join(first.select("hit_id"), "hit_id", "left_semi")
 
 
-def annotation_pick(hits: DataFrame, quota: int, seed: int = 0) -> DataFrame:
-    """Up to ``quota`` hits of every label, no item twice.  An item with several labels goes to the one its seeded hash
-    picks, so labels need not wait for each other."""
-    some = hits.where("label is not null and item_id is not null")
-    one = some.withColumn("__u", unit_column(seed, F.concat_ws("|", "item_id", F.col("hit_id").cast("string"))))
-    per_item = one.withColumn("__n", F.row_number().over(W.Window.partitionBy("item_id").orderBy("__u"))).where("__n = 1")
-    picked = per_item.withColumn("__n", F.row_number().over(W.Window.partitionBy("label").orderBy("__u", "hit_id"))).where(F.col("__n") <= quota)
-    return picked.drop("__n", "__u")
+def annotation_pick(hits: DataFrame, quotas: dict[str, int], seed: int = 0) -> DataFrame:
+    """For one label after another up to its quota of hits, in a seeded order, no item twice: (label, item_id, doc_id, hit_id,
+    ...).  Of a pair of item and document the first labelled hit counts.  An item taken for one label is passed over for
+    the next ones, whose quotas are filled from what is left.  Only picked rows, at most the sum of the quotas, are
+    remembered from label to label."""
+    unknown = set(quotas) - set(LABELS)
+    if unknown:
+        raise ValueError(f"unknown labels {sorted(unknown)}")
+    labelled = hits.where("label is not null and item_id is not null and doc_id is not null")
+    rows = labelled.join(labelled.groupBy("item_id", "doc_id").agg(F.min("hit_id").alias("hit_id")).select("hit_id"), "hit_id", "left_semi")
+    out = None
+    for label, quota in quotas.items():
+        pool = rows.where(F.col("label") == label)
+        if out is not None:
+            pool = pool.join(out.df.select("item_id"), "item_id", "left_anti")
+        one = pool.groupBy("item_id").agg(F.min(F.struct(_drawn(seed).alias("u"), "hit_id")).alias("o"))
+        best = one.select("o.*").orderBy("u", "hit_id").limit(quota)
+        mine = rows.join(best.select("hit_id"), "hit_id", "left_semi")
+        out = save(mine if out is None else out.df.unionByName(mine), "picked")
+    return rows.limit(0) if out is None else out.df
 
 
 def annotation_pack(picked: DataFrame, seed: int = 0) -> DataFrame:
-    """One row (label, hits) for each label: its picked hits as a JSON list in a seeded order.  A label has at most the
-    quota of ``annotation_pick`` hits, so a list is small."""
-    row = F.struct(F.xxhash64(F.lit(seed), "hit_id").alias("at"), F.struct("hit_id", "item_id", "doc_id", "level", "containment").alias("hit"))
-    return picked.groupBy("label").agg(F.to_json(F.array_sort(F.collect_list(row))["hit"]).alias("hits"))
+    """One row (hits, answers): the picked hits, without their labels, as a JSON list in a seeded order, and the labels in the
+    same order.  ``annotation_pick`` bounds the rows by its quotas, so the lists are small."""
+    row = F.struct(F.md5(F.concat(F.lit(f"pack {seed}|"), F.col("hit_id").cast("string"))).alias("at"), F.struct("hit_id", "item_id", "doc_id", "level", "containment").alias("hit"), "label")
+    sorted_ = picked.agg(F.array_sort(F.collect_list(row)).alias("r"))
+    return sorted_.select(F.to_json(F.col("r.hit")).alias("hits"), F.to_json(F.col("r.label")).alias("answers"))

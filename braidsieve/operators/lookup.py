@@ -6,12 +6,20 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def find_documents(docs: DataFrame, ids: list[str]) -> DataFrame:
-    """(doc_id, found, text) for every wanted id; the ids are filtered at the scan."""
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id string")
-    there = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text")
+def find_documents(rows: DataFrame, ids: list[str], id: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(doc_id, found, text) for every wanted id, of at most ``most`` ids.  The stored column is compared with values of its
+    own type, so the filter reaches the scan; an id that cannot be one is not found."""
+    ids = list(dict.fromkeys(ids))[:most]
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id string")
+    kind = rows.schema[id].dataType
+    if isinstance(kind, T.IntegralType):
+        known = [int(i) for i in ids if re.fullmatch(r"-?\d{1,18}", i) and str(int(i)) == i]
+    else:
+        known = ids
+    there = rows.where(F.col(id).isin(known)).select(F.col(id).cast("string").alias("doc_id"), F.col(text).alias("text"))
     return wanted.join(there, "doc_id", "left").select("doc_id", F.col("text").isNotNull().alias("found"), "text")
 
 

@@ -63,29 +63,52 @@ def hits_by_length(hits: DataFrame, lengths: DataFrame, short_below: int = 15) -
     return hits.join(lengths, "item_id").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("item_id").alias("items"))
 
 
-def compare_scans(eligible: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each level: items flagged in scan a, in b, in both and in one only, and the difference of their shares of the
-    eligible items with its interval.  One pass over the items, joined once with each scan's strongest levels."""
-    both = eligible.select("item_id").join(strongest(a).withColumnRenamed("rank", "a"), "item_id", "left").join(strongest(b).withColumnRenamed("rank", "b"), "item_id", "left")
+def compare_scans(eligible_a: DataFrame, eligible_b: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each benchmark and level: the items eligible in each scan, those flagged in a, in b, in both and in one only, and the
+    difference of the flagged shares with its interval (null where a scan has no eligible item).  One pass over the
+    items, joined once with each scan's strongest levels."""
+    items = eligible_a.select("item_id", F.lit(True).alias("ea")).join(eligible_b.select("item_id", F.lit(True).alias("eb")), "item_id", "full")
+    both = items.join(strongest(a).withColumnRenamed("rank", "a"), "item_id", "left").join(strongest(b).withColumnRenamed("rank", "b"), "item_id", "left")
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("level")) for i, n in ((1, "PARTIAL"), (2, "NEAR_DUPLICATE"), (3, "EXACT"))])).alias("l")
-    in_a, in_b = F.coalesce(F.col("a") >= F.col("l.rank"), F.lit(False)), F.coalesce(F.col("b") >= F.col("l.rank"), F.lit(False))
-    rows = both.select("a", "b", levels).groupBy("l.level").agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if(in_a).alias("in_a"), F.count_if(in_b).alias("in_b"), F.count_if(in_a & in_b).alias("in_both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(in_b & ~in_a).alias("only_b")
+    in_a, in_b = (F.coalesce(F.col(f"e{s}") & (F.col(s) >= F.col("l.rank")), F.lit(False)) for s in "ab")
+    rows = both.select(benchmark_of(F.col("item_id")).alias("benchmark"), "ea", "eb", "a", "b", levels).groupBy("benchmark", "l.level").agg(
+        F.count("ea").alias("eligible_a"), F.count("eb").alias("eligible_b"), F.count_if(in_a).alias("in_a"), F.count_if(in_b).alias("in_b"), F.count_if(in_a & in_b).alias("in_both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(in_b & ~in_a).alias("only_b")
     )
-    diff, low, high = newcombe(F.col("in_a"), F.col("eligible"), F.col("in_b"), F.col("eligible"))
+    diff, low, high = newcombe(F.col("in_a"), F.col("eligible_a"), F.col("in_b"), F.col("eligible_b"))
     return rows.select("*", diff.alias("difference"), low.alias("difference_low"), high.alias("difference_high"))
 
 
+def labelled_shares(eligible: DataFrame, hits: DataFrame, scan: Column) -> DataFrame:
+    """For each scan (a column of the hits) and benchmark: eligible items, the items with a hit labelled true contamination (t),
+    and those labelled so or as benign discussion (t_or_b), with intervals of their shares of the eligible items.  A scan
+    without such labels has no row."""
+    sizes = eligible.groupBy(benchmark_of(F.col("item_id")).alias("benchmark")).agg(F.count(F.lit(1)).alias("eligible"))
+    marked = hits.where(F.col("label").isin("true_contamination", "benign_discussion")).join(eligible.select("item_id"), "item_id", "left_semi")
+    items = marked.groupBy(scan.alias("scan"), "item_id").agg(F.max(F.when(F.col("label") == "true_contamination", 1).otherwise(0)).alias("t"))
+    rows = items.groupBy("scan", benchmark_of(F.col("item_id")).alias("benchmark")).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("t_or_b")).join(sizes, "benchmark")
+    return _with_intervals(rows.select("scan", "benchmark", "eligible", "t", "t_or_b"), "eligible", ("t", "t_or_b"))
+
+
 def hits_per_million(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     """Hits per million tokens; tokens: one row (tokens)."""
     return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(tokens).select("hits", "tokens", (1e6 * F.col("hits") / F.greatest("tokens", F.lit(1))).alias("per_million"))
 
 
-def show_report(rows: DataFrame, top: DataFrame) -> str:
-    """The headline and top hits as text; both are small by construction (benchmarks; top n)."""
-    lines = [f"{'benchmark':16}{'items':>8}{'indexed':>9}{'partial+':>26}{'near+':>26}{'exact':>7}"]
+def show_report(rows: DataFrame, top: DataFrame, progress: dict | None = None, skipped: int | None = None) -> str:
+    """The headline and top hits as text; both are small by construction (benchmarks; top n).  progress: documents, tokens, hits
+    and finished of a scan; skipped: items that could not be searched."""
+    lines = []
+    if progress is not None:
+        state = "finished" if progress["finished"] else "not finished"
+        lines.append(f"scan {state}: {progress['documents']} documents, {progress['tokens']} tokens, {progress['hits']} hits")
+    lines.append(f"{'benchmark':16}{'items':>8}{'indexed':>9}{'partial+':>26}{'near+':>26}{'exact':>7}")
     for r in rows.orderBy("benchmark").collect():
         cells = [f"{r[c]} [{100 * r[c + '_low']:.2f}%, {100 * r[c + '_high']:.2f}%]" for c in ("partial_or_more", "near_or_more")]
         lines.append(f"{r['benchmark']:16}{r['items']:>8}{r['indexed']:>9}{cells[0]:>26}{cells[1]:>26}{r['exact']:>7}")
-    lines += [f"{r['level']:15} {r['containment']:.2f}  {r['item_id']}  in  {r['doc_id']}" for r in top.collect()]
+    if skipped is not None:
+        lines.append(f"items not searched: {skipped}")
+    for r in top.collect():
+        lines.append(f"{r['level']:15} {r['containment']:.2f}  {r['item_id']}  in  {r['doc_id']}")
+        if "snippet" in top.columns and r["snippet"]:
+            lines.append(f"{'':16}{r['snippet'][:110]}")
     return "\n".join(lines)

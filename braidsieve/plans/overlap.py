@@ -162,7 +162,7 @@ def doc_budget(spark, sf_dir):
 
 def find_documents(spark, sf_dir):
     """Documents looked up by id, and the ids that are missing."""
-    out = lookup.find_documents(pages(spark, sf_dir), ["7", "11", "no such id"])
+    out = lookup.find_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["7", "11", "no such id"])
     return out.select("doc_id", "found", F.length("text").alias("chars"))
 
 

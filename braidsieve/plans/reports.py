@@ -62,10 +62,14 @@ def hits_by_length_bucket(spark, sf_dir):
 
 
 def compare_corpora_newcombe(spark, sf_dir):
-    """Hits of the edu strata against those of the web strata."""
-    all_ = hits(spark, sf_dir)
-    eligible = lengths(spark, sf_dir).where("tokens >= 3")
-    return report.compare_scans(eligible, all_.where("stratum like 'edu%'"), all_.where("stratum like 'web%'"))
+    """Hits of the edu strata against those of the web strata, which search items of three and of eight tokens on."""
+    all_, known = hits(spark, sf_dir), lengths(spark, sf_dir)
+    return report.compare_scans(known.where("tokens >= 3"), known.where("tokens >= 8"), all_.where("stratum like 'edu%'"), all_.where("stratum like 'web%'"))
+
+
+def labelled_shares(spark, sf_dir):
+    """Items labelled t, and t or b, of the edu and the web strata."""
+    return report.labelled_shares(lengths(spark, sf_dir).where("tokens >= 3"), clean_labels(spark, sf_dir).where("item_id is not null and stratum is not null"), F.substring("stratum", 1, 3))
 
 
 def hits_per_million(spark, sf_dir):
@@ -99,12 +103,15 @@ def label_sample_top(spark, sf_dir):
     return label_sample(spark, sf_dir).where("part = 'top'").select("stratum", "hit_id")
 
 
+QUOTAS = {"true_contamination": 40, "shared_source_text": 30, "benign_discussion": 20, "coincidental": 20}
+
+
 def annotation_pick(spark, sf_dir):
-    return labels.annotation_pick(clean_labels(spark, sf_dir), 40).select("label", "item_id", "hit_id")
+    return labels.annotation_pick(clean_labels(spark, sf_dir), QUOTAS).select("label", "item_id", "doc_id", "hit_id")
 
 
 def annotation_pack(spark, sf_dir):
-    return labels.annotation_pack(labels.annotation_pick(clean_labels(spark, sf_dir), 40))
+    return labels.annotation_pack(labels.annotation_pick(clean_labels(spark, sf_dir), QUOTAS))
 
 
 def wilson_table(spark, sf_dir):
@@ -129,7 +136,7 @@ def rounded_hits(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_labels, strongest_levels, level_report, top_hits, best_hit_per_item, filter_by_length, flagrate_by_min_length, hits_by_length_bucket, compare_corpora_newcombe,
+        clean_labels, strongest_levels, level_report, top_hits, best_hit_per_item, filter_by_length, flagrate_by_min_length, hits_by_length_bucket, compare_corpora_newcombe, labelled_shares,
         hits_per_million, label_summary, label_kappa, label_pairs, first_hits, label_sample, label_sample_top, annotation_pick, annotation_pack, wilson_table, banding_curve, rounded_hits,
     )
 }
@@ -154,11 +161,23 @@ def _intervals(names: tuple[str, ...], n: str) -> str:
     return ", ".join(parts)
 
 
+def _picks() -> str:
+    """CTEs: rows, the first labelled hit of each pair, and picked, one label's quota after another."""
+    parts = [", rows AS (SELECT * FROM clean WHERE label IS NOT NULL AND item_id IS NOT NULL AND doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hit_id) = 1)"]
+    before = []
+    for i, (label, quota) in enumerate(QUOTAS.items()):
+        used = " AND ".join(f"item_id NOT IN (SELECT item_id FROM k{j})" for j in before) or "true"
+        parts.append(f"k{i} AS (SELECT * FROM (SELECT * FROM rows WHERE label = '{label}' AND {used} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY md5('0|' || hit_id), hit_id) = 1) ORDER BY md5('0|' || hit_id), hit_id LIMIT {quota})")
+        before.append(i)
+    return ", ".join(parts) + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM k{j}" for j in before) + ") "
+
+
+_PICK = _picks()
 _THREE = ("partial_or_more", "near_or_more", "exact")
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE {{0}} >= {i}) AS {n}" for i, n in enumerate(_THREE, 1))
-_DIFF = "in_a::DOUBLE / eligible - in_b::DOUBLE / eligible"
-_LA, _HA = sql.wilson("in_a", "eligible")
-_LB, _HB = sql.wilson("in_b", "eligible")
+_DIFF = "in_a::DOUBLE / eligible_a - in_b::DOUBLE / eligible_b"
+_LA, _HA = sql.wilson("in_a", "eligible_a")
+_LB, _HB = sql.wilson("in_b", "eligible_b")
 _WIL = sql.wilson("k", "n")
 _TRUE = sql.wilson("true_contamination", "labelled")
 
@@ -175,10 +194,14 @@ SELECT min_tokens, count(item_id) AS eligible, {_COUNTS.format('rank')} FROM m L
 SELECT *, {_intervals(_THREE[:2], 'eligible')} FROM c""",
     "hits_by_length_bucket": _CLEAN + "SELECT CASE WHEN tokens < 30 THEN 'short' ELSE 'long' END AS bucket, count(*) AS hits, count(DISTINCT item_id) AS items FROM hits JOIN lengths USING (item_id) GROUP BY 1",
     "compare_corpora_newcombe": _CLEAN + f""", a AS (SELECT item_id, max(rank) AS a FROM hits WHERE stratum LIKE 'edu%' GROUP BY 1), b AS (SELECT item_id, max(rank) AS b FROM hits WHERE stratum LIKE 'web%' GROUP BY 1),
-x AS (SELECT level, coalesce(a >= r, false) AS ia, coalesce(b >= r, false) AS ib FROM lengths LEFT JOIN a USING (item_id) LEFT JOIN b USING (item_id) CROSS JOIN (VALUES (1, 'PARTIAL'), (2, 'NEAR_DUPLICATE'), (3, 'EXACT')) t(r, level) WHERE tokens >= 3),
-c AS (SELECT level, count(*) AS eligible, count(*) FILTER (WHERE ia) AS in_a, count(*) FILTER (WHERE ib) AS in_b, count(*) FILTER (WHERE ia AND ib) AS in_both, count(*) FILTER (WHERE ia AND NOT ib) AS only_a, count(*) FILTER (WHERE ib AND NOT ia) AS only_b FROM x GROUP BY 1)
-SELECT *, {_DIFF} AS difference, {_DIFF} - sqrt((in_a::DOUBLE / eligible - {_LA}) ** 2 + ({_HB} - in_b::DOUBLE / eligible) ** 2) AS difference_low,
-  {_DIFF} + sqrt(({_HA} - in_a::DOUBLE / eligible) ** 2 + (in_b::DOUBLE / eligible - {_LB}) ** 2) AS difference_high FROM c""",
+x AS (SELECT split_part(item_id, ':', 1) AS benchmark, level, tokens >= 8 AS eb, coalesce(a >= r, false) AS ia, coalesce(tokens >= 8 AND b >= r, false) AS ib FROM lengths LEFT JOIN a USING (item_id) LEFT JOIN b USING (item_id) CROSS JOIN (VALUES (1, 'PARTIAL'), (2, 'NEAR_DUPLICATE'), (3, 'EXACT')) t(r, level) WHERE tokens >= 3),
+c AS (SELECT benchmark, level, count(*) AS eligible_a, count(*) FILTER (WHERE eb) AS eligible_b, count(*) FILTER (WHERE ia) AS in_a, count(*) FILTER (WHERE ib) AS in_b, count(*) FILTER (WHERE ia AND ib) AS in_both, count(*) FILTER (WHERE ia AND NOT ib) AS only_a, count(*) FILTER (WHERE ib AND NOT ia) AS only_b FROM x GROUP BY 1, 2)
+SELECT *, {_DIFF} AS difference, {_DIFF} - sqrt((in_a::DOUBLE / eligible_a - {_LA}) ** 2 + ({_HB} - in_b::DOUBLE / eligible_b) ** 2) AS difference_low,
+  {_DIFF} + sqrt(({_HA} - in_a::DOUBLE / eligible_a) ** 2 + (in_b::DOUBLE / eligible_b - {_LB}) ** 2) AS difference_high FROM c""",
+    "labelled_shares": _CLEAN + f""", e AS (SELECT item_id FROM lengths WHERE tokens >= 3), n AS (SELECT split_part(item_id, ':', 1) AS benchmark, count(*) AS eligible FROM e GROUP BY 1),
+m AS (SELECT substring(stratum, 1, 3) AS scan, item_id, bool_or(label = 'true_contamination') AS t FROM clean WHERE label IN ('true_contamination', 'benign_discussion') AND item_id IN (SELECT item_id FROM e) AND stratum IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT scan, split_part(item_id, ':', 1) AS benchmark, count(*) FILTER (WHERE t) AS t, count(*) AS t_or_b FROM m GROUP BY 1, 2)
+SELECT scan, benchmark, eligible, t, t_or_b, {_intervals(('t', 't_or_b'), 'eligible')} FROM c JOIN n USING (benchmark)""",
     "hits_per_million": _CLEAN + ", t AS (SELECT sum(token_count)::BIGINT AS tokens FROM mini_corpus) SELECT hits, tokens, 1e6 * hits / greatest(tokens, 1) AS per_million FROM (SELECT count(*) AS hits FROM hits), t",
     "label_summary": _CLEAN + f""", c AS (SELECT stratum, count(label) AS labelled, {', '.join(f"count(*) FILTER (WHERE label = '{x}') AS {x}" for x in labels.LABELS)} FROM clean GROUP BY 1)
 SELECT *, {_TRUE[0]} AS true_low, {_TRUE[1]} AS true_high FROM c""",
@@ -191,6 +214,10 @@ e AS (SELECT coalesce(sum(x.c::DOUBLE * y.c), 0) AS s FROM (SELECT a AS l, count
 SELECT rows, agree, CASE WHEN s / (rows::DOUBLE * rows) >= 1 THEN 1.0 ELSE (agree::DOUBLE / rows - s / (rows::DOUBLE * rows)) / (1 - s / (rows::DOUBLE * rows)) END AS kappa FROM n, e""",
     "first_hits": _CLEAN + "SELECT min(hit_id) AS hit_id, item_id, doc_id FROM clean WHERE item_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY 2, 3",
     "label_sample_top": _CLEAN + "SELECT stratum, hit_id FROM hits QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY containment DESC, item_id, doc_id NULLS FIRST, hit_id) <= 20",
+    "label_sample": _CLEAN + """, t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY containment DESC, item_id, doc_id NULLS FIRST, hit_id) AS n FROM hits),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('11|' || hit_id), hit_id) AS m FROM t WHERE n > 20)
+SELECT stratum, hit_id, item_id, containment, 'top' AS part FROM t WHERE n <= 20 UNION ALL SELECT stratum, hit_id, item_id, containment, 'random' FROM o WHERE m <= 20""",
+    "annotation_pick": _CLEAN + _PICK + "SELECT label, item_id, doc_id, hit_id FROM picked",
     "wilson_table": _CLEAN + f", c AS (SELECT stratum, count(*) FILTER (WHERE rank = 3) AS k, count(*) AS n FROM hits GROUP BY 1) SELECT stratum, k, n, {_WIL[0]} AS low, {_WIL[1]} AS high FROM c",
     "banding_curve": "SELECT i / 20.0::DOUBLE AS similarity, 1 - (1 - (i / 20.0::DOUBLE) ** 4) ** 32 AS probability FROM range(21) t(i)",
     "rounded_hits": _CLEAN + "SELECT hit_id, round_even(containment / 3, 4) AS containment FROM hits",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,8 +12,9 @@ from braidsieve.operators.fuzzy import fuzzy_scan
 from braidsieve.operators.items import QUESTION, QUESTION_CHOICES, corpus
 from braidsieve.plans import oracle as sql
 from braidsieve.plans.overlap import held_out, items, pages
-from braidsieve.scratch import folder
+from braidsieve.scratch import folder, save
 from braidsieve.sources import synthetic
+from braidsieve.sources.files import remove
 
 
 def _one(spec: corrupt.Spec):
@@ -35,25 +36,27 @@ def corrupt_by_chance(spark, sf_dir):
     return corrupt.corrupt_all(held_out(spark, sf_dir), corrupt.default_specs())
 
 
-_SPECS = [corrupt.Spec("verbatim"), corrupt.Spec("format_noise"), corrupt.Spec("word_delete", 0.1), corrupt.Spec("word_delete", 0.3), corrupt.Spec("number_change"), corrupt.Spec("html_split", 1)]
-
-
-def _planted(spark, sf_dir, specs=None, per_spec=40):
-    return plant.plant(held_out(spark, sf_dir), pages(spark, sf_dir), _SPECS if specs is None else specs, items_per_spec=per_spec, controls=100, seed=3)
+def _planted(spark, sf_dir, per_spec=240):
+    """All conditions of all held-out items."""
+    return plant.plant(held_out(spark, sf_dir), pages(spark, sf_dir), items_per_spec=per_spec, controls=500, seed=3)
 
 
 def planted_corpus(spark, sf_dir):
     """The manifest of a corpus planted with all conditions."""
-    return _planted(spark, sf_dir, corrupt.default_specs()).plants
+    return _planted(spark, sf_dir).plants
 
 
 def planted_shortfalls(spark, sf_dir):
-    return _planted(spark, sf_dir, corrupt.default_specs(), per_spec=1000).shortfalls
+    return _planted(spark, sf_dir, per_spec=1000).shortfalls
 
 
 def verify_plants(spark, sf_dir):
-    """Plants that do not stand where the manifest says: none."""
-    return plant.verify(_planted(spark, sf_dir))
+    """Plants that do not stand where the manifest says, in a corpus that lost the documents of one condition and in which the
+    plants of another were overwritten."""
+    made = _planted(spark, sf_dir)
+    whole = made.documents.where("doc_id not like 'plant:html_wrap:%'")
+    broken = whole.withColumn("text", F.when(F.col("doc_id").like("plant:truncate@0.6:%"), F.translate("text", "aeiou", "bbbbb")).otherwise(F.col("text")))
+    return plant.verify(plant.PlantedCorpus(broken, made.plants, made.controls, made.shortfalls))
 
 
 def eval_summary(spark, sf_dir):
@@ -84,7 +87,7 @@ def operating_point(spark, sf_dir):
 
 
 def compare_methods(spark, sf_dir):
-    return compare(held_out(spark, sf_dir), _planted(spark, sf_dir), ns=(2, 3), fuzzy_ks=(3,)).drop("seconds")
+    return compare(held_out(spark, sf_dir), _planted(spark, sf_dir)).drop("seconds")
 
 
 def fuzzy_hits(spark, sf_dir):
@@ -102,17 +105,15 @@ def synthetic_items(spark, sf_dir):
 
 def streaming_scan(spark, sf_dir):
     """The held-out items over the pages as a stream of files."""
-    import os
-    import uuid
-
     from braidsieve.streaming.scan import ScanConfig, run_scan, scan_hits
 
-    home = folder(spark).removeprefix("file://")
-    out = f"{home}/stream-{uuid.uuid4().hex}" if os.path.isdir(home) else tempfile.mkdtemp()
     path = f"{sf_dir}/documents.parquet"
+    out = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    run_scan(spark, held_out(spark, sf_dir), path if os.path.isdir(path) else f"{sf_dir}/documents*.parquet", schema, out, ScanConfig(view=QUESTION), as_documents=lambda df: corpus(df, "doc_id", "doc_id"))
-    return scan_hits(spark, out)
+    run_scan(spark, held_out(spark, sf_dir), path, schema, out, ScanConfig(view=QUESTION), as_documents=lambda df: corpus(df, "doc_id", "doc_id"))
+    hits = save(scan_hits(spark, out), "hits")
+    remove(spark, out)
+    return hits.df
 
 
 QUERIES = {
@@ -139,5 +140,6 @@ SQL = {
     "corrupt_truncate": f"""SELECT item_id, CASE WHEN len(w) > 0 THEN array_to_string(w[: greatest(1, round_even(len(w) * 0.6::DOUBLE, 0))::INT], '') END AS planted
 FROM (SELECT item_id, regexp_extract_all({_FULL}, '[\\s\\p{{Z}}\\x{{85}}\\x{{0b}}]*[^\\s\\p{{Z}}\\x{{85}}\\x{{0b}}]+') AS w FROM mini_benchmark)""",
     "streaming_scan": sql.hits(3, 0.5, 0.9, slack=1.5, snippet=200, items="eval_items", choices=False, docs=sql.DOCUMENTS) + "SELECT item_id, doc_key, doc_id, level, containment, matched_ngrams, total_ngrams, ngram_size, exact, short, window_start, snippet FROM hits",
-    "verify_plants": "SELECT '' AS doc_id, '' AS problem WHERE false",
+    "verify_plants": """SELECT 'plant:html_wrap:' || item_id AS doc_id, 'document missing' AS problem FROM eval_items
+UNION ALL SELECT 'plant:truncate@0.6:' || item_id, 'text does not match the digest' FROM eval_items""",
 }

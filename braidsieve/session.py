@@ -35,6 +35,7 @@ def local(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSessi
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     spark = b.config(map=own | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import platform
 import sys
 from datetime import datetime, timezone
@@ -53,20 +52,51 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).schema(schema).csv(path)
 
 
-def write_json(path: str | Path, content: dict[str, Any]) -> None:
-    """One small JSON file, in place at once or not at all."""
-    path = Path(path)
-    new = path.with_name(path.name + ".new")
-    with new.open("w", encoding="utf-8", newline="\n") as f:
-        json.dump(content, f, indent=2, sort_keys=True, default=str)
-        f.write("\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(new, path)
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def read_json(path: str | Path) -> dict[str, Any]:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _place(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens if there is none."""
+    fs, p = _place(spark, path)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names within a folder, hidden ones left out; none if there is no folder."""
+    fs, p = _place(spark, path)
+    found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if not n.startswith((".", "_")))
+
+
+def write_json(spark: SparkSession, path: str, content: dict[str, Any]) -> None:
+    """One small JSON file on any file system Spark reaches, in place at once or not at all."""
+    fs, p = _place(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = fs.create(new, True)
+    out.write(bytearray((json.dumps(content, indent=2, sort_keys=True, default=str) + "\n").encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, p, over)
+
+
+def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
+    fs, p = _place(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def current_commit(start: str | Path = ".") -> str | None:

@@ -51,3 +51,30 @@ def test_query_is_its_sql(spark, db, name):
 @needs_data
 def test_entry(spark):
     assert entry_point.entry(spark).columns
+
+
+@needs_data
+def test_a_query_leaves_no_table_behind(spark):
+    from braidsieve import scratch
+
+    home = Path(scratch.folder(spark).removeprefix("file://"))
+    before = {p.name for p in home.iterdir()}
+    for name in ("hits_question", "near_dup_items", "token_budget"):
+        df = entry_point.queries()[name](spark, str(DATA))
+        assert df.collect() == df.collect()
+        left = [p for p in home.iterdir() if p.name not in before]
+        assert not [p for p in left if list(p.glob("*.parquet"))], name
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace as N
+
+    from braidsieve import scratch
+
+    def session(master, named=None, of_context=None):
+        return N(sparkContext=N(getConf=lambda: {"spark.checkpoint.dir": named}, getCheckpointDir=lambda: of_context, master=master))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(session("spark://host:7077"))
+    assert scratch.folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y" and scratch.folder(session("yarn", None, "hdfs://z")) == "hdfs://z"
+    assert scratch.folder(session("local[2]")).startswith("file://")

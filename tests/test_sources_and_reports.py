@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from braidsieve.functions.text import tokens_of
 from braidsieve.operators import dupes, keystats, labels, numbering, report, split
-from braidsieve.operators.treeagg import tree_aggregate
+from braidsieve.operators.treeagg import NODE, local_states, merged, tree_aggregate, tree_nodes
 from braidsieve.sources import benchmarks, files
 from braidsieve.sources.jsonl import read_jsonl, write_jsonl
 
@@ -52,8 +52,13 @@ def test_files(spark, tmp_path):
     assert files.read_hits(spark, str(tmp_path / "hits")).first()["containment"] == 0.0312
     files.write_csv(hits, str(tmp_path / "csv"))
     assert tuple(files.read_csv(spark, str(tmp_path / "csv"), files.HITS).first()) == tuple(hits.first())
-    files.write_json(tmp_path / "x.json", {"b": 1, "a": [2]})
-    assert files.read_json(tmp_path / "x.json") == {"a": [2], "b": 1} and not list(tmp_path.glob("*.new"))
+    for content in ({"b": 1, "a": [2]}, {"b": "é"}):
+        files.write_json(spark, str(tmp_path / "j/x.json"), content)
+        assert files.read_json(spark, str(tmp_path / "j/x.json")) == content and files.names(spark, str(tmp_path / "j")) == ["x.json"]
+    files.remove(spark, str(tmp_path / "j"))
+    assert not files.exists(spark, str(tmp_path / "j")) and files.names(spark, str(tmp_path / "j")) == []
+    with pytest.raises(FileNotFoundError):
+        files.read_json(spark, str(tmp_path / "j/x.json"))
     git = tmp_path / "r" / ".git"
     (git / "refs/heads").mkdir(parents=True)
     (git / "HEAD").write_text("ref: refs/heads/main\n")
@@ -76,11 +81,16 @@ def test_reports(spark):
     assert report.filter_hits(hits, lengths, 10, 2).count() == 1
     assert {(r["bucket"], r["hits"], r["items"]) for r in report.hits_by_length(hits, lengths).collect()} == {("short", 2, 1), ("long", 2, 2)}
     other = hits.where("item_id <> 'a:2'").withColumn("rank", F.lit(1))
-    level = {r["level"]: r for r in report.compare_scans(items, hits, other).collect()}
-    assert (level["PARTIAL"]["in_both"], level["PARTIAL"]["only_a"], level["EXACT"]["in_b"]) == (2, 1, 0)
-    assert level["PARTIAL"]["difference_low"] < level["PARTIAL"]["difference"] == 0.25 < level["PARTIAL"]["difference_high"]
-    text = report.show_report(report.headline(items, items, hits), report.top_hits(hits.withColumn("level", F.lit("EXACT")), 2))
-    assert text.count("\n") == 5
+    level = {(r["benchmark"], r["level"]): r for r in report.compare_scans(items.where("item_id like 'a%'"), items.where("item_id <> 'c:1'"), hits, other).collect()}
+    a = level["a", "PARTIAL"]
+    assert (a["eligible_a"], a["in_both"], a["only_a"], level["a", "EXACT"]["in_b"]) == (2, 1, 1, 0) and a["difference_low"] < a["difference"] == 0.5 < a["difference_high"]
+    assert (level["b", "PARTIAL"]["eligible_a"], level["b", "PARTIAL"]["in_b"], level["b", "PARTIAL"]["difference"]) == (0, 1, None)
+    marked = hits.withColumn("label", F.expr("case when item_id = 'a:1' then 'true_contamination' when item_id = 'a:2' then 'benign_discussion' else 'coincidental' end"))
+    shares = [tuple(r)[:5] for r in report.labelled_shares(items, marked, F.lit("web")).collect()]
+    assert shares == [("web", "a", 2, 1, 2)]
+    top = report.top_hits(hits.withColumns({"level": F.lit("EXACT"), "snippet": F.lit("a snippet " * 30)}), 2)
+    text = report.show_report(report.headline(items, items, hits), top, {"documents": 9, "tokens": 90, "hits": 5, "finished": False}, 3)
+    assert text.count("\n") == 9 and text.startswith("scan not finished: 9 documents, 90 tokens, 5 hits") and "items not searched: 3" in text and max(map(len, text.split("\n"))) <= 126
 
 
 def test_labels(spark):
@@ -90,8 +100,28 @@ def test_labels(spark):
     assert hits.where("containment is null").count() == 1 and hits.first()["level"] == "NEAR_DUPLICATE"
     sample = labels.label_sample(hits, 5, 6).collect()
     assert Counter(r["part"] for r in sample) == {"top": 5, "random": 6} and min(r["containment"] for r in sample if r["part"] == "top") == 35 / 40
-    picked = labels.annotation_pick(hits, 4).collect()
+    picked = labels.annotation_pick(hits, {"true_contamination": 4}).collect()
     assert len(picked) == 4 and len({r["item_id"] for r in picked}) == 4
+    # quotas of their own, filled from what earlier labels left; the first hit of a pair counts
+    r = random.Random(5)
+    many = [(i, f"i{r.randrange(12)}", f"d{r.randrange(3)}", r.choice(labels.LABELS[:3]), 0.5, "EXACT") for i in range(300)]
+    quotas = {labels.LABELS[1]: 5, labels.LABELS[0]: 4, labels.LABELS[2]: 9, labels.LABELS[3]: 3}
+    frame = spark.createDataFrame(many, "hit_id long, item_id string, doc_id string, label string, containment double, level string")
+    got = labels.annotation_pick(frame, quotas)
+    first = {}
+    for h, i, d, label, *_ in many:
+        first.setdefault((i, d), (h, label))
+    rows = got.collect()
+    assert len({x["item_id"] for x in rows}) == len(rows) and all(first[x["item_id"], x["doc_id"]] == (x["hit_id"], x["label"]) for x in rows)
+    used: set = set()
+    for label, quota in quotas.items():
+        own = {x["item_id"] for x in rows if x["label"] == label}
+        assert len(own) == min(quota, len({i for (i, _), (_, x) in first.items() if x == label} - used))
+        used |= own
+    pack = labels.annotation_pack(got).first()
+    assert [x["hit_id"] for x in json.loads(pack["hits"])] != sorted(x["hit_id"] for x in rows) and len(json.loads(pack["answers"])) == len(rows) and "label" not in pack["hits"]
+    with pytest.raises(ValueError):
+        labels.annotation_pick(frame, {"no label": 1})
     pairs = spark.createDataFrame([("a", "a")] * 20 + [("a", "b")] * 5 + [("b", "a")] * 10 + [("b", "b")] * 15 + [("a", None)], "first string, second string")
     assert labels.agreement(pairs).first()["kappa"] == pytest.approx(0.4) and labels.agreement(pairs.where("first = 'a' and second = 'a'")).first()["kappa"] == 1.0
     assert labels.label_summary(hits).first()["true_high"] == 1.0 and labels.first_of_pairs(hits).count() == 21
@@ -141,13 +171,23 @@ def test_splits(spark):
 
 def test_tree_aggregation(spark):
     df = spark.range(20_000).repartition(37).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 101 != 0, (F.col("id") % 500).cast("string")).alias("k k"), "id")
-    for fan_in, spread in ((2, 64), (32, 1024), (1000, 1)):
-        out = tree_aggregate(df, ["k k"], {"n": (F.lit(1).cast("long"), "sum"), "most": (F.col("id"), "max"), "least": (F.col("id"), "min")}, fan_in, spread)
+    for fan_in, chunks in ((2, 37), (32, 100_000), (1000, 1)):
+        out = tree_aggregate(df, ["k k"], {"n": (F.lit(1).cast("long"), "sum"), "most": (F.col("id"), "max"), "least": (F.col("id"), "min")}, fan_in, chunks)
         want = df.groupBy("k k").agg(F.count(F.lit(1)).alias("n"), F.max("id"), F.min("id"))
         assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert tree_aggregate(df.limit(0), ["k k"], {"n": (F.lit(1), "sum")}).count() == 0
     with pytest.raises(ValueError):
         tree_aggregate(df, ["k k"], {}, 1)
+    assert tree_nodes(800_000, 32) == [25_000, 782, 25, 1] and tree_nodes(1, 32) == [1]
+    # with more chunks than the square of the fan-in, no reducer gets more than fan_in states of a key in any round
+    states = {"n": (F.lit(1).cast("long"), "sum")}
+    now = local_states(df, ["k k"], states).groupBy("k k", NODE).agg(F.sum("n").alias("n"))
+    assert now.select(NODE).distinct().count() == 37
+    for nodes in tree_nodes(37, 3):
+        met = now.groupBy("k k", *([] if nodes == 1 else [F.floor(F.col(NODE) / 3).alias("up")])).count()
+        assert met.agg(F.max("count")).first()[0] <= 3
+        now = merged(now, ["k k"], states, 3, nodes == 1)
+    assert now.agg(F.sum("n")).first()[0] == 20_000
 
 
 def test_hits_per_key(spark):

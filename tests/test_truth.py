@@ -128,7 +128,7 @@ def test_fuzzy_and_comparison(spark, items, planted):
 
 def test_streaming(spark, items, planted, tmp_path):
     from braidsieve.operators.containment import Thresholds, build_index, scan
-    from braidsieve.streaming.scan import ScanConfig, ScanError, run_scan, scan_hits
+    from braidsieve.streaming.scan import ScanConfig, ScanError, progress, run_scan, scan_hits
 
     docs = planted.documents.select("doc_id", "text").unionByName(spark.createDataFrame([("bad", None)], "doc_id string, text string"))
     docs.repartition(6).write.parquet(str(tmp_path / "docs"))
@@ -137,7 +137,22 @@ def test_streaming(spark, items, planted, tmp_path):
     def run(settings=config, **how):
         return run_scan(spark, items, str(tmp_path / "docs"), "doc_id string, text string", str(tmp_path / "out"), settings, as_documents=lambda df: corpus(df, "doc_id", "doc_id"), **how)
 
-    first = run()
+    calls = []
+
+    def breaks(df):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("a batch breaks off")
+        return corpus(df, "doc_id", "doc_id")
+
+    where = (str(tmp_path / "docs"), "doc_id string, text string", str(tmp_path / "out"), config)
+    with pytest.raises(Exception, match="breaks off"):
+        run_scan(spark, items, *where, as_documents=breaks)
+    state = progress(spark, str(tmp_path / "out"))
+    assert state["batches"] == 1 and not state["finished"]
+    seen = []
+    first = run(resume=True, on_batch=seen.append)
+    assert [r["batch"] for r in seen] == [1, 2] and first["tokens"] > 0
     want = scan(corpus(docs, "doc_id", "doc_id"), build_index(items, n=3), Thresholds(0.5, 0.9), window_slack=1.5, snippet_chars=200)
     assert sorted(map(tuple, scan_hits(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
     assert first["documents"] == 38 and first["malformed"] == 1 and first["batches"] == 3 and first["hits"] == want.count()
@@ -148,5 +163,24 @@ def test_streaming(spark, items, planted, tmp_path):
     assert run(resume=True) == first
     docs.limit(3).withColumn("doc_id", F.concat(F.lit("new"), "doc_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
     more = run(resume=True)
+    batch = tmp_path / "out/hits/batch=0"
+    kept = {p.name: p.read_bytes() for p in batch.iterdir() if p.suffix == ".parquet" or p.name.endswith(".crc")}
+    for p in batch.iterdir():
+        p.unlink()
+    with pytest.raises(ScanError, match="batch 0"):
+        run(resume=True)
+    batch.rmdir()
+    with pytest.raises(ScanError, match="batch 0"):
+        run(resume=True)
+    batch.mkdir()
+    for name, data in kept.items():
+        (batch / name).write_bytes(data)
+    record = tmp_path / "out/batches/0.json"
+    text = record.read_bytes()
+    record.unlink()
+    with pytest.raises(ScanError, match="record of batch 0"):
+        run(resume=True)
+    record.write_bytes(text)
+    assert run(resume=True) == more
     assert more["batches"] == 4 and more["documents"] + more["malformed"] == 42
     assert run(overwrite=True)["documents"] == more["documents"]
