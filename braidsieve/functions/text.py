@@ -13,11 +13,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,6 +165,37 @@ def gram_sets(text: Column | str, sizes: list[int]) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def sized_grams(text: Column | str, size: Column | str) -> Column:
+    """The distinct n-gram hashes of each row's own size; none for null."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(values: pa.Array, sizes: pa.Array) -> pa.Array:
+        tokens, own = [tokens_of(t) for t in values.to_pylist()], np.array(sizes.to_pylist())
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(tokens)
+        for n in set(own.tolist()):
+            rows = np.flatnonzero(own == n)
+            doc, _, gram = gram_hashes([tokens[i] for i in rows.tolist()], [n])
+            ends = np.searchsorted(doc, np.arange(len(rows) + 1)).tolist()
+            for j, i in enumerate(rows.tolist()):
+                out[i] = np.unique(gram[ends[j] : ends[j + 1]])
+        ends = np.append(0, np.cumsum([len(x) for x in out])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+
+    return run(*(F.col(c) if isinstance(c, str) else c for c in (text, size)))
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = 2000, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``chars`` characters of column ``text``; a longer text is a slice
+    by itself."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    o = 0
+    while o < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[o - 1] if o else 0) + chars, side="right"))
+        part = batch.slice(o, max(1, min(rows, most - o)))
+        o += part.num_rows
+        yield part
+
+
 def with_grams(text: Column | str, sizes: list[int]) -> Column:
     """A struct of the token line and of all n-grams of the given sizes: grams of (pos, gram)."""
     if not sizes or min(sizes) < 1:

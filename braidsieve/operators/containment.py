@@ -5,18 +5,21 @@
 Items with equal tokens share an entry; items of fewer than n tokens are matched by their whole length; n-grams of many
 entries can be dropped as stop grams.
 
-A scan finds candidates first.  If a pair's containment is at least c, then of any (total - ceil(c * total) + 1) n-grams of the
-entry at least one stands in the document; the rarest ones are taken, so that grams that many items share do not blow the
-join up.  The candidates (two ids each) are saved, which tells Spark their size: documents are joined with them by
-broadcast where they are few, and by shuffle, where a bloom filter thins the documents, where they are many.  Only
-candidate documents are tokenized again, for the exact count, the best window, the contiguous match and the snippet.
-Nothing is broadcast unless its saved size is below the session's broadcast threshold.
+A pair's containment can only be c or more if, of any (total - ceil(c * total) + 1) n-grams of the entry, one stands in the
+document.  The rarest ones are taken, so that grams that many items share do not blow the search up.
+
+An index of at most ``block_grams`` n-grams is sent to the tasks, and each document is read, tokenized and judged once,
+where it lies: nothing is shuffled.  A larger index is joined: the rare grams with those of all documents, which gives
+candidates of two ids each; only candidate documents are tokenized again, for the exact count, the best window, the
+contiguous match and the snippet.  Nothing else is broadcast unless its saved size is below the session's threshold.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from braidsieve.functions.text import distinct_values, gram_hashes, gram_sets, token_count, token_line, tokens_of
+from braidsieve.functions.text import distinct_values, gram_hashes, gram_sets, sized_grams, slices, token_count, token_line, tokens_of
 from braidsieve.operators.items import QUESTION_CHOICES, view_text
 from braidsieve.scratch import Saved, save
 from braidsieve.session import spread
@@ -61,14 +64,24 @@ def level_name(rank: Column) -> Column:
 @dataclass
 class Index:
     """entries: (entry, item_ids, line, tokens, size, total, short, grams), grams from the rarest to the most common;
-    skipped: (item_id, reason); sizes: the n-gram sizes there are."""
+    skipped: (item_id, reason); grams: how many n-grams all entries have together."""
 
     entries: DataFrame
     skipped: DataFrame
-    sizes: list[int]
+    grams: int
     n: int
     behind: list[Saved]
 
+    @cached_property
+    def sizes(self) -> list[int]:
+        """The n-gram sizes there are, at most n numbers."""
+        return sorted(r["size"] for r in self.entries.select("size").distinct().collect())
+
+    def drop(self) -> None:
+        """Delete the tables behind the index."""
+        for s in self.behind:
+            s.drop()
+
     def item_ids(self) -> DataFrame:
         return self.entries.select(F.explode("item_ids").alias("item_id"))
 
@@ -104,10 +117,7 @@ def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, s
     lines, short = entry_lines(items, view, least)
     size = F.least(F.lit(n), "tokens")
     raw = save(lines.withColumn("size", size).withColumn("entry", F.monotonically_increasing_id()), "entries")
-    sizes = sorted(r["size"] for r in raw.df.select("size").distinct().collect())  # at most n numbers
-    if not sizes:
-        sizes = [n]
-    own = F.coalesce(*[F.when(F.col("size") == s, gram_sets("line", [s])) for s in sizes])
+    own = sized_grams("line", "size")
     each = raw.df.select("entry", "size", F.explode(own).alias("gram"))
     counted = each.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("df"))
     kept = each.join(counted if stop_k is None else counted.where(F.col("df") < stop_k), ["size", "gram"])
@@ -115,7 +125,8 @@ def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, s
     full = raw.df.join(by_entry, "entry", "left")
     done = save(full.where("grams is not null").select("entry", "item_ids", "line", "tokens", "size", F.size("grams").alias("total"), (F.col("tokens") < n).alias("short"), "grams"), "index")
     stopped = full.where("grams is null").select(F.explode("item_ids").alias("item_id"), F.lit("all_stop_ngrams").alias("reason"))
-    return Index(done.df, short.unionByName(stopped), sizes, n, [raw, done])
+    total = done.df.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    return Index(done.df, short.unionByName(stopped), total, n, [raw, done])
 
 
 def adaptive_size(items: DataFrame, view: str = QUESTION_CHOICES, cap: int = 13) -> DataFrame:
@@ -166,6 +177,92 @@ def candidates(docs: DataFrame, index: Index, floor: float) -> DataFrame:
 HIT_COLUMNS = ["item_id", "doc_key", "doc_id", "level", "containment", "matched_ngrams", "total_ngrams", "ngram_size", "exact", "short", "window_start", "snippet"]
 
 
+def _spread_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All of starts[i] .. starts[i] + counts[i] - 1, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+class Block:
+    """An index within a task: numbers for its n-grams, the n-grams of every entry, and the entries by rare n-gram."""
+
+    def __init__(self, rows: list, floor: float) -> None:
+        self.ids, self.lines = [list(r["item_ids"]) for r in rows], [r["line"] for r in rows]
+        self.size, self.length = (np.array([r[c] for r in rows], np.int64) for c in ("size", "tokens"))
+        self.short = [r["short"] for r in rows]
+        self.total = np.array([r["total"] for r in rows], np.int64)
+        self.sizes = sorted(set(self.size.tolist()))
+        flat = np.fromiter((g for r in rows for g in r["grams"]), np.int64, int(self.total.sum()))
+        self.known, self.gram = np.unique(flat, return_inverse=True)
+        self.first = np.append(0, np.cumsum(self.total))
+        self.floor = floor
+        rare = self.total - np.maximum(1, np.ceil(floor * self.total - 1e-9)).astype(np.int64) + 1
+        gram, owner = self.gram[_spread_ranges(self.first[:-1], rare)], np.repeat(np.arange(len(rows)), rare)
+        by = np.argsort(gram, kind="stable")
+        self.rare_owner = owner[by]
+        self.rare_first = np.append(0, np.cumsum(np.bincount(gram, minlength=len(self.known))))
+
+    def match(self, tokens: list[list[str]]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(document, entry, matched n-grams, their places, their numbers) of pairs whose containment reaches the floor."""
+        grams, entries = len(self.known), len(self.total)
+        if not grams:
+            return
+        doc, place, value = gram_hashes(tokens, self.sizes)
+        number = np.minimum(np.searchsorted(self.known, value), grams - 1)
+        ok = self.known[number] == value
+        doc, place, number = doc[ok], place[ok], number[ok]
+        there = np.unique(doc * grams + number)
+        own, gram = there // grams, there % grams
+        counts = self.rare_first[gram + 1] - self.rare_first[gram]
+        pairs = np.unique(np.repeat(own, counts) * entries + self.rare_owner[_spread_ranges(self.rare_first[gram], counts)])
+        if not len(pairs):
+            return
+        d, e = pairs // entries, pairs % entries
+        wanted = np.repeat(d, self.total[e]) * grams + self.gram[_spread_ranges(self.first[e], self.total[e])]
+        found = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
+        matched = np.add.reduceat(found, np.cumsum(self.total[e]) - self.total[e], dtype=np.int64)
+        keep = np.flatnonzero(matched >= self.floor * self.total[e] - 1e-9)
+        ends = np.searchsorted(doc, np.arange(len(tokens) + 1))
+        marked = np.zeros(grams, bool)
+        for i in keep.tolist():
+            a, b, mine = ends[d[i]], ends[d[i] + 1], self.gram[self.first[e[i]] : self.first[e[i] + 1]]
+            marked[mine] = True
+            hit = np.flatnonzero(marked[number[a:b]]) + a
+            marked[mine] = False
+            yield int(d[i]), int(e[i]), int(matched[i]), place[hit], number[hit]
+
+
+def _scan_block(block: Block, at: Thresholds, slack: float | None, snippet_chars: int):
+    """Arrow batches (doc_key, doc_id, text) to hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                tokens = [tokens_of(t) for t in part.column(2).to_pylist()]
+                rows, place_of = [], []
+                for d, e, m, place, number in block.match(tokens):
+                    length, n, total = int(block.length[e]), int(block.size[e]), int(block.total[e])
+                    st = int(place[0])
+                    if slack is not None:
+                        m, st = best_window(place, number, span_of(slack, length, n))
+                    exact = m >= at.near_duplicate * total - 1e-12 and f" {block.lines[e]} " in f" {' '.join(tokens[d])} "
+                    c = m / total
+                    rank = 3 if exact else 2 if c >= at.near_duplicate else 1 if c >= at.partial else 0
+                    if rank:
+                        cut = " ".join(tokens[d][st : st + length + 3])[:snippet_chars] if snippet_chars else ""
+                        rows += [(i, LEVELS[rank], c, m, total, n, exact, block.short[e], st, cut) for i in block.ids[e]]
+                        place_of += [d] * len(block.ids[e])
+                item, *rest = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_HIT_KINDS)]
+                docs = part.take(pa.array(place_of, pa.int64()))
+                yield pa.record_batch([item, docs.column(0), docs.column(1), *rest], HIT_COLUMNS)
+
+    return run
+
+
+_HIT_KINDS = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
+_HIT_TYPES = (T.StringType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), T.BooleanType(), T.IntegerType(), T.StringType())
+
+
 _SCORE = T.StructType([T.StructField("m", T.IntegerType()), T.StructField("st", T.IntegerType()), T.StructField("exact", T.BooleanType()), T.StructField("snippet", T.StringType())])
 
 
@@ -218,9 +315,15 @@ def score(docs: DataFrame, index: Index, pairs: DataFrame, *, near: float, windo
     )
 
 
-def scan(docs: DataFrame, index: Index, at: Thresholds | None = None, *, window_slack: float | None = None, snippet_chars: int = 0) -> DataFrame:
-    """All (item, document) overlaps at or above the thresholds: ``HIT_COLUMNS``."""
+def scan(docs: DataFrame, index: Index, at: Thresholds | None = None, *, window_slack: float | None = None, snippet_chars: int = 0, block_grams: int = 500_000) -> DataFrame:
+    """All (item, document) overlaps at or above the thresholds: ``HIT_COLUMNS``.  With an index of at most ``block_grams``
+    n-grams the result does not read the index's tables."""
     at = at or Thresholds()
+    if index.grams <= block_grams:
+        block = Block(index.entries.collect(), at.partial)
+        texts = spread(docs.where("text is not null").select("doc_key", "doc_id", "text"))
+        kinds = [T.StructField("item_id", T.StringType()), texts.schema["doc_key"], texts.schema["doc_id"], *[T.StructField(c, t) for c, t in zip(HIT_COLUMNS[3:], _HIT_TYPES)]]
+        return texts.mapInArrow(_scan_block(block, at, window_slack, snippet_chars), T.StructType(kinds))
     pairs = save(candidates(docs, index, at.partial), "pairs")
     index.behind.append(pairs)
     scored = score(docs, index, pairs.df, near=at.near_duplicate, window_slack=window_slack, snippet_chars=snippet_chars, floor=at.partial)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ class FuzzyIndex:
         self.sets = [np.unique(gram[cut[i] : cut[i + 1]]) for i in range(len(entries))]
         self.windows = [window_size(len(s)) for s in self.sets]
         self.every = np.unique(gram)
+        self.fewest = {w: min(len(s) for s, v in zip(self.sets, self.windows) if v == w) for w in set(self.windows)}
         self.by_window: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
         keyed: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, s in enumerate(self.sets):
@@ -62,26 +64,43 @@ class FuzzyIndex:
             out ^= out >> np.uint64(29)
         return out ^ (np.arange(self.bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
-    def scan(self, tokens: list[str], least: float, min_shared: int) -> list[tuple[int, int, int]]:
-        """(entry, matched shingles, window start) of entries contained well enough."""
+    def scan(self, tokens: list[str], least: float, min_shared: int, piece: int = 1 << 16) -> list[tuple[int, int, int]]:
+        """(entry, matched shingles, window start) of entries contained well enough.
+
+        A document is gone through in pieces of ``piece`` window starts, so what is held at once does not grow with it."""
         _, _, gram = gram_hashes([tokens], [self.k])
-        if len(gram) == 0 or len(np.intersect1d(gram, self.every)) < min_shared:
+        known = np.isin(gram, self.every)
+        if len(np.unique(gram[known])) < max(1, min_shared):
             return []
-        values = self.values(gram)
-        best: dict[int, tuple[int, int]] = {}
-        for w, (known, table) in sorted(self.by_window.items()):
-            last = max(0, len(gram) - w)
-            starts = np.unique(np.append(np.arange(0, last + 1, max(1, w // 8)), last))
-            width = min(w, len(gram))
-            views = np.lib.stride_tricks.sliding_window_view(values, width, axis=1)[:, starts]
-            keys = self.keys(views.min(axis=2).T)
-            for i in np.flatnonzero(np.isin(keys, known).any(axis=1)).tolist():
-                own = gram[starts[i] : starts[i] + w]
-                for e in {e for key in keys[i].tolist() for e in table.get(key, ())}:
-                    matched = int(np.isin(self.sets[e], own).sum())
-                    if matched > best.get(e, (0, 0))[0]:
-                        best[e] = (matched, int(starts[i]))
-        return [(e, m, s) for e, (m, s) in sorted(best.items()) if m >= least * len(self.sets[e]) - 1e-12]
+        seen = np.append(0, np.cumsum(known))
+        found: dict[int, tuple[int, int]] = {}  # entry: matched, -start, so that the first of the best stays
+        longest = max(self.by_window)
+        for p in range(0, len(gram), piece):
+            part = gram[p : p + piece + longest - 1]
+            hashed = None
+            for w, (keys, table) in self.by_window.items():
+                starts = self._starts(seen, w, p, piece, least)
+                if not len(starts):
+                    continue
+                hashed = self.values(part) if hashed is None else hashed
+                views = np.lib.stride_tricks.sliding_window_view(hashed, min(w, len(part)), axis=1)[:, starts - p]
+                own = self.keys(views.min(axis=2).T)
+                met = np.isin(own, keys)
+                for j in np.flatnonzero(met.any(axis=1)).tolist():
+                    window = part[starts[j] - p : starts[j] - p + w]
+                    for e in set(chain.from_iterable(table[key] for key in own[j][met[j]].tolist())):
+                        found[e] = max(found.get(e, (0, 0)), (int(np.isin(self.sets[e], window).sum()), -int(starts[j])))
+        return [(e, m, -s) for e, (m, s) in sorted(found.items()) if m and m >= least * len(self.sets[e]) - 1e-12]
+
+    def _starts(self, seen: np.ndarray, w: int, p: int, piece: int, least: float) -> np.ndarray:
+        """The windows of width w that begin within the piece and hold enough known shingles for the smallest entry of that
+        width; seen: known shingles before each place."""
+        whole = len(seen) - 1
+        last, step = max(0, whole - w), max(1, w // 8)
+        starts = np.arange(-(-p // step) * step, min(p + piece, last + 1), step)
+        if p <= last < p + piece:
+            starts = np.union1d(starts, [last])
+        return starts[seen[np.minimum(starts + w, whole)] - seen[starts] >= max(1, math.ceil(least * self.fewest[w] - 1e-9))]
 
 
 HITS = T.StructType(

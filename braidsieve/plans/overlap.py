@@ -100,7 +100,9 @@ def indexed_by_benchmark(spark, sf_dir):
 def _hits(spark, sf_dir, at, n, view=QUESTION, stop_k=None, min_tokens=None, **how):
     """Held-out items in the pages."""
     index = ct.build_index(held_out(spark, sf_dir), view=view, n=n, stop_k=stop_k, min_tokens=min_tokens)
-    return ct.scan(pages(spark, sf_dir), index, at, **how)
+    out = ct.scan(pages(spark, sf_dir), index, at, **how)
+    index.drop()  # 240 items are sent to the tasks
+    return out
 
 
 def hits_default(spark, sf_dir):
