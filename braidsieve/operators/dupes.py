@@ -45,8 +45,10 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, *, least: flo
     b = a if right is None else save(right, "sets").df
     both = a if right is None else a.unionByName(b)
     df = both.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ra = _rare(a, df, least).select(F.col("id").alias("id_a"), F.col("size").alias("size_a"), "s")
-    rb = _rare(b, df, least).select(F.col("id").alias("id_b"), F.col("size").alias("size_b"), "s")
+    rare_a = save(_rare(a, df, least), "rare").df
+    rare_b = rare_a if right is None else save(_rare(b, df, least), "rare").df
+    ra = rare_a.select(F.col("id").alias("id_a"), F.col("size").alias("size_a"), "s")
+    rb = rare_b.select(F.col("id").alias("id_b"), F.col("size").alias("size_b"), "s")
     order = F.col("id_a") < F.col("id_b") if right is None else F.col("id_a") != F.col("id_b")
     lo, hi = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     pairs = save(ra.join(rb, "s").where(order & (lo >= least * hi - 1e-9)).select("id_a", "id_b").distinct(), "pairs").df

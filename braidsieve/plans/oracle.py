@@ -56,9 +56,9 @@ MINI_CORPUS = "SELECT pos AS doc_key, coalesce(id, 'row-' || pos) AS doc_id, tex
 DOCUMENTS = "SELECT doc_id AS doc_key, CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE text IS NOT NULL"
 
 
-def index(n: int, *, choices: bool = True, stop_k: int | None = None, min_tokens: int | None = None, items: str = "mini_benchmark") -> str:
+def index(n: int | str, *, choices: bool = True, stop_k: int | None = None, min_tokens: int | None = None, items: str = "mini_benchmark") -> str:
     """CTEs: it (item_id, tok), ent (eid, tok, ids, len, size), eg (eid, size, g, df), kept, tot (eid, total)."""
-    least = min(4, n) if min_tokens is None else min_tokens
+    least = min(4, int(n)) if min_tokens is None else min_tokens
     stop = f"WHERE df < {stop_k}" if stop_k else ""
     return f"""
 it AS (SELECT item_id, {tokens(view(choices))} AS tok FROM {items}),
@@ -70,7 +70,7 @@ kept AS (SELECT * FROM eg {stop}),
 tot AS (SELECT eid, count(*) AS total FROM kept GROUP BY eid)"""
 
 
-def hits(n: int, partial: float, near: float, *, slack: float | None = None, snippet: int = 0, docs: str = MINI_CORPUS, **of) -> str:
+def hits(n: int | str, partial: float, near: float, *, slack: float | None = None, snippet: int = 0, docs: str = MINI_CORPUS, **of) -> str:
     """CTEs up to hits, with all columns of a hit."""
     base = f"""WITH {index(n, **of)},
 d AS (SELECT doc_key, doc_id, {tokens('text')} AS tok FROM ({docs})),

@@ -115,8 +115,14 @@ def hits_question(spark, sf_dir):
 
 
 def hits_corpus(spark, sf_dir):
-    """All benchmark items in the corpus: an index too large to count on a broadcast."""
-    return ct.scan(docs(spark, sf_dir), ct.build_index(items(spark, sf_dir), view=QUESTION, n=3), ct.Thresholds(0.3, 0.9))
+    """All benchmark items in the corpus."""
+    return ct.scan(docs(spark, sf_dir), ct.build_index(items(spark, sf_dir), view=QUESTION, n=2), ct.Thresholds(0.3, 0.9))
+
+
+def hits_corpus_joined(spark, sf_dir):
+    """The same by the joins of a large index, with windows and snippets."""
+    index = ct.build_index(items(spark, sf_dir), view=QUESTION, n=2)
+    return ct.scan(docs(spark, sf_dir), index, ct.Thresholds(0.3, 0.9), window_slack=1.5, snippet_chars=80, block_grams=0)
 
 
 def hits_scan_config(spark, sf_dir):
@@ -141,7 +147,10 @@ def exact_match(spark, sf_dir):
 
 
 def short_item_hits(spark, sf_dir):
-    return _hits(spark, sf_dir, ct.Thresholds(), 25, min_tokens=2).where("short")
+    """Items of fewer than 25 tokens, matched whole, in the questions and choices of all items."""
+    texts = items(spark, sf_dir).select("pos", "item_id", view_text(QUESTION_CHOICES).alias("text"))
+    index = ct.build_index(items(spark, sf_dir), view=QUESTION, n=25, min_tokens=2)
+    return ct.scan(corpus(texts, "pos", "item_id"), index, ct.Thresholds()).where("short")
 
 
 def gpt3_flags(spark, sf_dir):
@@ -172,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, token_lines, token_counts, item_views, item_lengths, gpt3_n, ngram_df, stop_ngrams, duplicate_item_groups, index_entries, index_summary, skipped_items,
-        indexed_by_benchmark, hits_default, hits_question, hits_corpus, hits_scan_config, hits_stop_grams, containment_whole, containment_windowed, exact_match, short_item_hits, gpt3_flags, scan_stats,
+        indexed_by_benchmark, hits_default, hits_question, hits_corpus, hits_corpus_joined, hits_scan_config, hits_stop_grams, containment_whole, containment_windowed, exact_match, short_item_hits, gpt3_flags, scan_stats,
         token_budget, doc_budget, find_documents,
     )
 }
@@ -183,6 +192,9 @@ g AS (SELECT gram, count(*) AS texts FROM (SELECT unnest(list_distinct({sql.gram
 """
 _EVAL = dict(items="eval_items", choices=False, docs=sql.DOCUMENTS)
 
+_GPT3_N = f"""gl AS (SELECT len({sql.tokens(sql.view(True))}) AS tokens FROM eval_items), gr AS (SELECT tokens, row_number() OVER (ORDER BY tokens) AS r, count(*) OVER () AS c FROM gl),
+gn AS (SELECT greatest(1, least(13, tokens)) AS n FROM gr WHERE r = greatest(ceil(0.05 * c), 1))"""
+
 SQL = {
     "normalize_text": _DOCS.format(sql.normal("text") + " AS normal"),
     "token_lines": _DOCS.format(f"array_to_string({sql.tokens('text')}, ' ') AS line"),
@@ -204,13 +216,15 @@ UNION ALL SELECT unnest(ids), 'all_stop_ngrams' FROM ent WHERE eid NOT IN (SELEC
 SELECT split_part(item_id, ':', 1) AS benchmark, count(*) AS items, count(i.item_id) AS indexed FROM mini_benchmark b LEFT JOIN i USING (item_id) GROUP BY 1""",
     "hits_default": sql.hits(8, 0.5, 0.8, **(_EVAL | {"choices": True})) + f"SELECT {COLUMNS} FROM hits",
     "hits_question": sql.hits(8, 0.5, 0.8, **_EVAL) + f"SELECT {COLUMNS} FROM hits",
-    "hits_corpus": sql.hits(3, 0.3, 0.9, choices=False) + f"SELECT {COLUMNS} FROM hits",
+    "hits_corpus": sql.hits(2, 0.3, 0.9, choices=False) + f"SELECT {COLUMNS} FROM hits",
+    "hits_corpus_joined": sql.hits(2, 0.3, 0.9, slack=1.5, snippet=80, choices=False) + f"SELECT {COLUMNS} FROM hits",
+    "gpt3_flags": sql.hits("(SELECT n FROM gn)", 1e-9, 0.8, min_tokens=1, **(_EVAL | {"choices": True})).replace("WITH ", f"WITH {_GPT3_N}, ", 1) + "SELECT item_id, count(*) AS documents, max(containment) AS most FROM hits GROUP BY 1",
     "hits_scan_config": sql.hits(3, 0.5, 0.9, slack=1.5, snippet=200, **_EVAL) + f"SELECT {COLUMNS} FROM hits",
     "hits_stop_grams": sql.hits(3, 0.5, 0.9, slack=1.5, stop_k=5, **_EVAL) + f"SELECT {COLUMNS} FROM hits",
     "containment_whole": sql.hits(3, 0.3, 0.8, **_EVAL) + f"SELECT {COLUMNS} FROM hits",
     "containment_windowed": sql.hits(2, 0.3, 0.8, slack=1.5, **_EVAL) + f"SELECT {COLUMNS} FROM hits",
     "exact_match": sql.hits(8, 0.5, 0.8, **_EVAL) + "SELECT item_id, doc_key FROM hits WHERE exact",
-    "short_item_hits": sql.hits(25, 0.5, 0.8, min_tokens=2, **_EVAL) + f"SELECT {COLUMNS} FROM hits WHERE short",
+    "short_item_hits": sql.hits(25, 0.5, 0.8, min_tokens=2, choices=False, docs=f"SELECT pos AS doc_key, item_id AS doc_id, {sql.view(True)} AS text FROM mini_benchmark") + f"SELECT {COLUMNS} FROM hits WHERE short",
     "scan_stats": sql.hits(8, 0.5, 0.8, **_EVAL) + "SELECT (SELECT count(*) FROM d) AS documents, (SELECT sum(len(tok)) FROM d)::BIGINT AS tokens, (SELECT count(*) FROM hits) AS hits, (SELECT count(*) FROM documents WHERE text IS NULL) AS malformed",
     "token_budget": """SELECT doc_key, doc_id, tokens FROM (SELECT pos AS doc_key, coalesce(id, 'row-' || pos) AS doc_id, coalesce(token_count, 0) AS tokens,
 coalesce(sum(coalesce(token_count, 0)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mini_corpus) WHERE before < 20000""",

@@ -9,7 +9,7 @@ from braidsieve.functions.text import normal_form, token_line
 from braidsieve.operators import dupes, lookup, split
 from braidsieve.operators.items import QUESTION, view_text
 from braidsieve.plans import oracle as sql
-from braidsieve.plans.overlap import docs, held_out, items, pages
+from braidsieve.plans.overlap import items, pages
 
 
 def _sets(spark, sf_dir, k=3):
@@ -22,9 +22,10 @@ def near_dup_items(spark, sf_dir):
 
 
 def near_dup_cross(spark, sf_dir):
-    """Held-out items like benchmark items."""
-    other = dupes.shingle_sets(held_out(spark, sf_dir), "item_id", view_text(QUESTION), 3)
-    return dupes.similar_pairs(other, _sets(spark, sf_dir), least=0.3)
+    """Items of the training split like items of the test split."""
+    side = F.lower(F.trim("split"))
+    a, b = (dupes.shingle_sets(items(spark, sf_dir).where(side == name), "item_id", view_text(QUESTION), 3) for name in ("train", "test"))
+    return dupes.similar_pairs(a, b, least=0.5)
 
 
 def near_dup_docs(spark, sf_dir):
@@ -105,12 +106,13 @@ p AS (SELECT id_a, id_b, c::DOUBLE / (n + m - c) AS jaccard FROM c WHERE c::DOUB
 
 
 _Q = sql.view(False)
+_SPLIT = "(SELECT * FROM mini_benchmark WHERE lower(trim(split)) = '{}')"
 _ITEMS = f"WITH {_shingles('a', 'mini_benchmark', 'item_id', _Q, 3)}, {_pairs('a', 'a', 'u.id < v.id', 0.5)}"
 _SIDE = "CASE WHEN ('0x' || substring(md5({0}), 1, 15))::BIGINT::DOUBLE / (1::BIGINT << 60)::DOUBLE < {1} THEN 'dev' ELSE 'test' END AS side"
 
 SQL = {
     "near_dup_items": _ITEMS + " SELECT * FROM p",
-    "near_dup_cross": f"WITH {_shingles('a', 'eval_items', 'item_id', _Q, 3)}, {_shingles('b', 'mini_benchmark', 'item_id', _Q, 3)}, {_pairs('a', 'b', 'u.id <> v.id', 0.3)} SELECT * FROM p",
+    "near_dup_cross": f"WITH {_shingles('a', _SPLIT.format('train'), 'item_id', _Q, 3)}, {_shingles('b', _SPLIT.format('test'), 'item_id', _Q, 3)}, {_pairs('a', 'b', 'u.id <> v.id', 0.5)} SELECT * FROM p",
     "near_dup_docs": f"WITH {_shingles('a', 'documents', 'doc_id', 'text', 5)}, {_pairs('a', 'a', 'u.id < v.id', 0.8)} SELECT * FROM p",
     "dupes_by_threshold": _ITEMS + " SELECT " + ", ".join(f"count(*) FILTER (WHERE jaccard >= {t} - 1e-12) AS {n}" for t, n in ((0.5, "at_50"), (0.7, "at_70"), (0.9, "at_90"))) + " FROM p",
     "split_md5": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_SIDE.format(chr(39) + '0|' + chr(39) + ' || doc_id', 0.5)} FROM documents",
