@@ -169,3 +169,13 @@ def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     return packed.agg(F.count_distinct("sequence").alias("sequences"), F.sum("n_tokens").alias("tokens")).select(
         "sequences", "tokens", (1 - F.col("tokens") / (F.col("sequences") * capacity)).alias("unused_share")
     )
+
+
+def faults(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: documents (ids are unique here), overfull sequences, sequences with gaps or overlaps, documents cut though they
+    fit into one sequence, and pieces with tokens but no place."""
+    own = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("t"), F.count_if(F.col("sequence").isNull() & (F.col("n_tokens") > 0)).alias("lost"))
+    docs = own.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= capacity)).alias("cut_in_vain"), F.sum("lost").alias("unplaced"))
+    filled = packed.where("sequence is not null").groupBy("sequence").agg(F.sum("n_tokens").alias("t"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("n"), F.count_distinct("start").alias("starts"))
+    seqs = filled.agg(F.count_if(F.col("t") > capacity).alias("overfull"), F.count_if((F.col("end") != F.col("t")) | (F.col("n") != F.col("starts"))).alias("gaps"))
+    return docs.crossJoin(seqs).select("documents", "overfull", "gaps", "cut_in_vain", "unplaced")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidsieve.llm import canonical, copies, leaks, neardup, packing, repetition, topn
+from braidsieve.llm import canonical, copies, leaks, neardup, oracle, packing, repetition, topn
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +74,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, sf_dir))
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what must hold of a packing: all documents, and no sequence too full or with a gap, no document cut that
+    would have fitted, no token without a place."""
+    return packing.faults(p6_pack(spark, sf_dir))
+
+
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the items they give away, and the spans of words to remove."""
     return leaks.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
@@ -96,7 +102,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_top, p2_found, p2_groups, p2_list, p4_found, p4_texts, p5_found, p5_records, p6_pack, p6_fill, p7_found, p7_spans, p8_found, p8_shares)
+    for f in (p1_found, p1_top, p2_found, p2_groups, p2_list, p4_found, p4_texts, p5_found, p5_records, p6_pack, p6_fill, p6_check, p7_found, p7_spans, p8_found, p8_shares)
 }
 
 _P1 = r"""
@@ -113,7 +119,7 @@ WITH clean AS (
 )
 """
 
-SQL = {
+SQL = oracle.SQL | {
     "p1_found": _P1 + "SELECT item_id, hit_id FROM placed WHERE position <= 3",
     "p1_top": _P1 + "SELECT item_id, hit_id, doc_id, rank, containment, position FROM placed WHERE position <= 3",
 }
