@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -71,9 +72,13 @@ def gram_values(tokens: list[str], n: int) -> list[int]:
     """Horner's polynomial over the token hashes of every n neighbouring tokens; none if there are fewer than n."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    weights = [pow(GRAM_BASE, n - 1 - j, PRIME) for j in range(n)]
     values = [token_hash(t) for t in tokens]
-    return [sum(w * v for w, v in zip(weights, values[i : i + n])) % PRIME for i in range(len(values) - n + 1)]
+    if len(values) < n:
+        return []
+    # with the polynomial of every prefix, a window is the difference of two of them
+    prefix = list(accumulate(values, lambda h, v: (h * GRAM_BASE + v) % PRIME, initial=0))
+    top = pow(GRAM_BASE, n, PRIME)
+    return [(b - a * top) % PRIME for a, b in zip(prefix, prefix[n:])]
 
 
 def gram_value_column(line: Column, n: int) -> Column:

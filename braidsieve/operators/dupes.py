@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidsieve.functions.text import gram_sets, token_line
+from braidsieve.operators.expand import member_pairs
 from braidsieve.scratch import save
 from braidsieve.session import spread
 
@@ -76,10 +77,12 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.when(same.isNull(), equal / F.size(a))
 
 
-def banded_candidates(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs whose signatures agree in a whole band."""
+def banded_candidates(signed: DataFrame, bands: int, rows: int, block: int = 4096) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs whose signatures agree in a whole band.  A band value that many ids share is parted into
+    blocks, and each two blocks meet by themselves."""
     ok = F.assert_true(F.size("signature") == bands * rows, "bands x rows must be the signature's length")
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    banded = signed.where(ok.isNull()).select("id", F.explode(keys).alias("band"))
-    a, b = banded.withColumnRenamed("id", "id_a"), banded.withColumnRenamed("id", "id_b")
-    return a.join(b, "band").where("id_a < id_b").select("id_a", "id_b").distinct()
+    banded = save(signed.where(ok.isNull()).select("id", F.explode(keys).alias("band")), "bands").df
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    links = sizes.select(F.col("band").alias("band_a"), F.col("band").alias("band_b"))
+    return member_pairs(links, banded, ["band"], "id", sizes, block).where("id_a < id_b").select("id_a", "id_b").distinct()

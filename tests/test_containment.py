@@ -136,3 +136,18 @@ def test_budget(spark):
     assert ids() == ["d0", "d1", "d2", "row-3", "d4", "d5"]
     assert ids(max_tokens=9) == ["d0", "d1", "d2"] and ids(max_tokens=10) == ["d0", "d1", "d2", "row-3"]
     assert ids(max_tokens=100, max_docs=2) == ["d0", "d1"] and ids(max_tokens=0) == []
+
+
+@pytest.mark.parametrize("slack", [None, 1.5])
+def test_one_pass_and_joins_agree(spark, slack):
+    """A small index, judged where the documents lie, gives the hits of the joins of a large one."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(50)]
+    items = spark.createDataFrame([(f"b:{i}", " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 14))), []) for i in range(40)] + [("b:same", "w1 w2 w3 w4", []), ("b:again", "W1 w2, w3 w4!", [])], "item_id string, question string, choices array<string>")
+    rows = [(i, f"d{i % 70}", " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 120)))) for i in range(80)] + [(100, "m", None), (101, "e", ""), (102, "x", "w1 w2 w3 w4 " * 3)]
+    docs = spark.createDataFrame(rows, "doc_key long, doc_id string, text string")
+    index = ct.build_index(items, n=3, min_tokens=1, stop_k=4)
+    for at in (ct.Thresholds(0.3, 0.8), ct.ANY_OVERLAP):
+        small, large = (ct.scan(docs, index, at, window_slack=slack, snippet_chars=30, block_grams=most) for most in (500_000, 0))
+        assert small.dtypes == large.dtypes and sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() > 20
+    assert ct.scan(docs, ct.build_index(items.limit(0), n=3)).count() == 0

@@ -155,7 +155,8 @@ def test_signatures(spark):
     assert one.select(dupes.estimated_jaccard(F.col("x"), F.col("y"))).first()[0] == pytest.approx(1 / 3, abs=0.12)
     with pytest.raises(Exception):
         one.select(dupes.estimated_jaccard(F.col("x"), F.slice("y", 1, 3))).collect()
-    assert dupes.banded_candidates(dupes.signatures(sets, 256), 128, 2).count() == 3
+    for block in (1, 4096):
+        assert dupes.banded_candidates(dupes.signatures(sets, 256), 128, 2, block).count() == 3
 
 
 def test_splits(spark):
