@@ -117,19 +117,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def token_values(tokens: list[str]) -> np.ndarray:
+    """A 64-bit hash of each token, taken once for each distinct one."""
+    try:
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+    except UnicodeEncodeError:  # half of a surrogate pair, which no Arrow text holds
+        return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens], np.uint64)
+    own = np.array([xxhash.xxh64_intdigest(t.encode()) for t in coded.dictionary.to_pylist()], np.uint64)
+    return own[coded.indices.to_numpy()]
+
+
 def gram_hashes(tokens: list[list[str]], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, hash) of every n-gram of every size, in order of text, size and position.  A hash names a size and its
     tokens; texts shorter than a size have none of it."""
-    number: dict[str, int] = {}
     lengths = np.array([len(t) for t in tokens], np.int64)
-    value = np.empty(int(lengths.sum()), np.uint64)
-    i = 0
-    for t in chain.from_iterable(tokens):
-        h = number.get(t)
-        if h is None:
-            h = number[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-        value[i] = h
-        i += 1
+    value = token_values(list(chain.from_iterable(tokens)))
     text = np.repeat(np.arange(len(tokens)), lengths)
     place = np.arange(len(value)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = []
