@@ -49,12 +49,8 @@ def run_sets(words: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct k-runs of texts as 32-bit numbers in order, one text after another, and where each text begins (one
     more than there are texts)."""
     text, _, run = gram_hashes(words, [k])
-    run = (run.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-    by = np.lexsort((run, text))
-    text, run = text[by], run[by]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (run[1:] != run[:-1])
-    return run[new], np.searchsorted(text[new], np.arange(len(words) + 1))
+    both = np.unique((text.astype(np.uint64) << np.uint64(32)) | (run.view(np.uint64) >> np.uint64(32)))
+    return both.astype(np.uint32), np.searchsorted(both >> np.uint64(32), np.arange(len(words) + 1, dtype=np.uint64))
 
 
 def minima(runs: np.ndarray, offsets: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
@@ -145,10 +141,9 @@ def _band_blocks(bands: int, rows: int, parts: int, chunk_keys: int):
         return part, known, base, planes(keys), planes((n - base).astype(np.uint32))
 
     def blocks(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        key = keys.reshape(-1) >> np.uint64(16)
-        own = np.tile(n, len(keys))
-        by = np.argsort(key, kind="stable")
-        key, own = key[by], own[by]
+        # a key's 48 bits and its row's place in the chunk are sorted as one number
+        both = np.sort(((keys >> np.uint64(16) << np.uint64(16)) | np.arange(len(n), dtype=np.uint64)).reshape(-1))
+        key, own = both >> np.uint64(16), n[(both & np.uint64(0xFFFF)).astype(np.int64)]
         more = np.zeros(len(key), bool)
         more[2:] = key[2:] == key[:-2]
         out = []
@@ -169,7 +164,7 @@ def _band_blocks(bands: int, rows: int, parts: int, chunk_keys: int):
                 n, lists = part.column(0).to_numpy(), part.column(1)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 runs = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint32)
-                if held and (size + bands * len(n) > chunk_keys or n[-1] - held[0][1][0] >= 1 << 32 or n[0] < held[-1][1][-1]):
+                if held and (size + bands * len(n) > min(chunk_keys, bands << 16) or n[-1] - held[0][1][0] >= 1 << 32 or n[0] < held[-1][1][-1]):
                     yield blocks(np.concatenate([k for k, _ in held], axis=1), np.concatenate([x for _, x in held]))
                     held, size = [], 0
                 held.append((band_keys(minima(runs, offsets[:-1] - offsets[0], bands * rows), bands, rows), n))
