@@ -114,8 +114,8 @@ def run_scan(
 
         stream = spark.readStream.schema(schema).format(format).option("mode", "FAILFAST").option("maxFilesPerTrigger", config.files_per_batch)
         place, _, file = documents_dir.rstrip("/").rpartition("/")
-        alone = names(spark, documents_dir) == [file]  # a file, not a folder
-        stream = stream.option("pathGlobFilter", file).load(place) if alone else stream.load(documents_dir)
+        # a stream follows a folder or a pattern; a single file is named by a pattern that only it fits
+        stream = stream.load(f"{place}/{file[:-1]}[{file[-1]}]" if names(spark, documents_dir) == [file] else documents_dir)
         stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     write_json(spark, state, {"fingerprint": mark, "finished": True})
     return progress(spark, out)
