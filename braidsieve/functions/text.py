@@ -127,24 +127,28 @@ def token_values(tokens: list[str]) -> np.ndarray:
     return own[coded.indices.to_numpy()]
 
 
-def gram_hashes(tokens: list[list[str]], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of every n-gram of every size, in order of text, size and position.  A hash names a size and its
-    tokens; texts shorter than a size have none of it."""
+def sized_gram_hashes(tokens: list[list[str]], sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, position, hash) of every n-gram, an array for each size, in order of text and position.  A hash names a size and
+    its tokens; texts shorter than a size have none of it."""
     lengths = np.array([len(t) for t in tokens], np.int64)
     value = token_values(list(chain.from_iterable(tokens)))
     text = np.repeat(np.arange(len(tokens)), lengths)
     place = np.arange(len(value)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = []
     for n in sizes:
         full = max(0, len(value) - n + 1)
         h = np.full(full, n, np.uint64)
         for j in range(n):
             h = _mix((h + np.uint64(0x9E3779B97F4A7C15)) ^ value[j : j + full])
         at = np.flatnonzero(text[:full] == text[n - 1 : n - 1 + full])
-        out.append((text[at], place[at], h[at]))
+        yield text[at], place[at], h[at].view(np.int64)
+
+
+def gram_hashes(tokens: list[list[str]], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of every n-gram of every size, in order of text, size and position."""
+    out = list(sized_gram_hashes(tokens, sizes))
     docs, places, hashes = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
     by = np.argsort(docs, kind="stable")
-    return docs[by], places[by], hashes[by].view(np.int64)
+    return docs[by], places[by], hashes[by]
 
 
 GRAM = T.StructType([T.StructField("line", T.StringType()), T.StructField("grams", T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("gram", T.LongType())])))])

@@ -9,9 +9,10 @@ A pair's containment can only be c or more if, of any (total - ceil(c * total) +
 document.  The rarest ones are taken, so that grams that many items share do not blow the search up.
 
 An index of at most ``block_grams`` n-grams is sent to the tasks, and each document is read, tokenized and judged once,
-where it lies: nothing is shuffled.  A larger index is joined: the rare grams with those of all documents, which gives
-candidates of two ids each; only candidate documents are tokenized again, for the exact count, the best window, the
-contiguous match and the snippet.  Nothing else is broadcast unless its saved size is below the session's threshold.
+where it lies: nothing is shuffled.  A larger index is sent in rounds of about ``ROUND_GRAMS`` n-grams, over all documents
+each, and only the hits of a round are saved: where texts have common phrases, the candidate pairs are far too many to be
+rows.  ``candidates`` and ``score`` are the same by joins, for evaluations that need the pairs.  Nothing else is broadcast
+unless its saved size is below the session's threshold.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from braidsieve.functions.text import distinct_values, gram_hashes, gram_sets, sized_grams, slices, token_count, token_line, tokens_of
+from braidsieve.functions.text import distinct_values, gram_hashes, gram_sets, sized_gram_hashes, sized_grams, slices, token_count, token_line, tokens_of
 from braidsieve.operators.items import QUESTION_CHOICES, view_text
 from braidsieve.scratch import Saved, save
 from braidsieve.session import spread
 
 LEVELS = ("NONE", "PARTIAL", "NEAR_DUPLICATE", "EXACT")
 FLOOR = 1e-9
+SHARED = 4  # so many rare n-grams a pair must have in common, if its containment asks for as many
+ROUND_GRAMS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -184,52 +187,86 @@ def _spread_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """An index within a task: numbers for its n-grams, the n-grams of every entry, and the entries by rare n-gram."""
-
-    def __init__(self, rows: list, floor: float) -> None:
-        self.ids, self.lines = [list(r["item_ids"]) for r in rows], [r["line"] for r in rows]
-        self.size, self.length = (np.array([r[c] for r in rows], np.int64) for c in ("size", "tokens"))
-        self.short = [r["short"] for r in rows]
-        self.total = np.array([r["total"] for r in rows], np.int64)
-        self.sizes = sorted(set(self.size.tolist()))
-        flat = np.fromiter((g for r in rows for g in r["grams"]), np.int64, int(self.total.sum()))
-        self.known, self.gram = np.unique(flat, return_inverse=True)
+    """Entries of an index within a task, as arrays: numbers for their n-grams, the n-grams of every entry, and the entries by
+    rare n-gram.
+
+    A pair that reaches the floor has ``need`` of the entry's n-grams in common, so at least k of its rarest total - need + k.
+    With k up to ``SHARED`` in place of one, few pairs are left to be counted out whole."""
+
+    def __init__(self, entries: pa.Table, floor: float) -> None:
+        of = {c: entries.column(c).combine_chunks() for c in ("item_ids", "line", "tokens", "size", "total", "short", "grams")}
+        self.ids, self.lines = of["item_ids"], of["line"]
+        self.size, self.length, self.total = (of[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "tokens", "total"))
+        self.short = of["short"].to_pylist()
+        self.sizes = np.unique(self.size).tolist()
+        self.known, gram = np.unique(of["grams"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        self.gram = gram.astype(np.int32)
         self.first = np.append(0, np.cumsum(self.total))
         self.floor = floor
-        rare = self.total - np.maximum(1, np.ceil(floor * self.total - 1e-9)).astype(np.int64) + 1
-        gram, owner = self.gram[_spread_ranges(self.first[:-1], rare)], np.repeat(np.arange(len(rows)), rare)
-        by = np.argsort(gram, kind="stable")
-        self.rare_owner = owner[by]
+        need = np.maximum(1, np.ceil(floor * self.total - 1e-9)).astype(np.int64)
+        self.shared = np.minimum(need, SHARED)
+        rare = self.total - need + self.shared
+        gram, owner = self.gram[_spread_ranges(self.first[:-1], rare)], np.repeat(np.arange(len(self.total), dtype=np.int32), rare)
+        self.rare_owner = owner[np.argsort(gram, kind="stable")]
         self.rare_first = np.append(0, np.cumsum(np.bincount(gram, minlength=len(self.known))))
 
+    def _known(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place, number) of the n-grams that some entry has, in order of document, size and place."""
+        out = []
+        for doc, place, value in sized_gram_hashes(tokens, self.sizes):
+            number = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+            ok = np.flatnonzero(self.known[number] == value)
+            out.append((doc[ok], place[ok], number[ok]))
+        doc, place, number = (np.concatenate([o[k] for o in out]) for k in range(3))
+        by = np.argsort(doc, kind="stable")
+        return doc[by], place[by], number[by]
+
+    def _pairs(self, own: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, entry) of pairs with enough rare n-grams in common, in order.  own: ascending."""
+        entries = len(self.total)
+        starts = self.rare_first[gram]
+        counts = self.rare_first[gram + 1] - starts
+        # whole documents, about a million shared n-grams at a time
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        group = np.append(0, np.cumsum(counts))[heads] // 1_000_000
+        cuts = heads[np.append(True, group[1:] != group[:-1])].tolist()
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(own)]):
+            base = int(own[a])
+            kind = np.int32 if (int(own[b - 1]) - base + 1) * entries < 2**31 else np.int64
+            key = np.repeat(((own[a:b] - base) * entries).astype(kind), counts[a:b])
+            key += self.rare_owner[_spread_ranges(starts[a:b], counts[a:b])]
+            key.sort()
+            at = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+            pair = key[at].astype(np.int64)
+            enough = np.diff(np.append(at, len(key))) >= self.shared[pair % entries]
+            out.append(pair[enough] + base * entries)
+        pairs = np.concatenate(out)
+        return pairs // entries, pairs % entries
+
     def match(self, tokens: list[list[str]]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """(document, entry, matched n-grams, their places, their numbers) of pairs whose containment reaches the floor."""
-        grams, entries = len(self.known), len(self.total)
+        grams = len(self.known)
         if not grams:
             return
-        doc, place, value = gram_hashes(tokens, self.sizes)
-        number = np.minimum(np.searchsorted(self.known, value), grams - 1)
-        ok = self.known[number] == value
-        doc, place, number = doc[ok], place[ok], number[ok]
+        doc, place, number = self._known(tokens)
         there = np.unique(doc * grams + number)
-        own, gram = there // grams, there % grams
-        counts = self.rare_first[gram + 1] - self.rare_first[gram]
-        pairs = np.unique(np.repeat(own, counts) * entries + self.rare_owner[_spread_ranges(self.rare_first[gram], counts)])
-        if not len(pairs):
+        if not len(there):
             return
-        d, e = pairs // entries, pairs % entries
-        wanted = np.repeat(d, self.total[e]) * grams + self.gram[_spread_ranges(self.first[e], self.total[e])]
-        found = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
-        matched = np.add.reduceat(found, np.cumsum(self.total[e]) - self.total[e], dtype=np.int64)
-        keep = np.flatnonzero(matched >= self.floor * self.total[e] - 1e-9)
-        ends = np.searchsorted(doc, np.arange(len(tokens) + 1))
+        every_d, every_e = self._pairs(there // grams, there % grams)
+        ends = np.searchsorted(doc, np.arange(len(tokens) + 1)).tolist()
         marked = np.zeros(grams, bool)
-        for i in keep.tolist():
-            a, b, mine = ends[d[i]], ends[d[i] + 1], self.gram[self.first[e[i]] : self.first[e[i] + 1]]
-            marked[mine] = True
-            hit = np.flatnonzero(marked[number[a:b]]) + a
-            marked[mine] = False
-            yield int(d[i]), int(e[i]), int(matched[i]), place[hit], number[hit]
+        for o in range(0, len(every_d), 10_000):
+            d, e = every_d[o : o + 10_000], every_e[o : o + 10_000]
+            wanted = np.repeat(d, self.total[e]) * grams + self.gram[_spread_ranges(self.first[e], self.total[e])]
+            found = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
+            matched = np.add.reduceat(found, np.cumsum(self.total[e]) - self.total[e], dtype=np.int64)
+            for i in np.flatnonzero(matched >= self.floor * self.total[e] - 1e-9).tolist():
+                a, b, mine = ends[d[i]], ends[d[i] + 1], self.gram[self.first[e[i]] : self.first[e[i] + 1]]
+                marked[mine] = True
+                hit = np.flatnonzero(marked[number[a:b]]) + a
+                marked[mine] = False
+                yield int(d[i]), int(e[i]), int(matched[i]), place[hit], number[hit]
 
 
 def _scan_block(block: Block, at: Thresholds, slack: float | None, snippet_chars: int):
@@ -245,13 +282,14 @@ def _scan_block(block: Block, at: Thresholds, slack: float | None, snippet_chars
                     st = int(place[0])
                     if slack is not None:
                         m, st = best_window(place, number, span_of(slack, length, n))
-                    exact = m >= at.near_duplicate * total - 1e-12 and f" {block.lines[e]} " in f" {' '.join(tokens[d])} "
+                    exact = m >= at.near_duplicate * total - 1e-12 and f" {block.lines[e].as_py()} " in f" {' '.join(tokens[d])} "
                     c = m / total
                     rank = 3 if exact else 2 if c >= at.near_duplicate else 1 if c >= at.partial else 0
                     if rank:
                         cut = " ".join(tokens[d][st : st + length + 3])[:snippet_chars] if snippet_chars else ""
-                        rows += [(i, LEVELS[rank], c, m, total, n, exact, block.short[e], st, cut) for i in block.ids[e]]
-                        place_of += [d] * len(block.ids[e])
+                        ids = block.ids[e].as_py()
+                        rows += [(i, LEVELS[rank], c, m, total, n, exact, block.short[e], st, cut) for i in ids]
+                        place_of += [d] * len(ids)
                 item, *rest = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_HIT_KINDS)]
                 docs = part.take(pa.array(place_of, pa.int64()))
                 yield pa.record_batch([item, docs.column(0), docs.column(1), *rest], HIT_COLUMNS)
@@ -316,19 +354,22 @@ def score(docs: DataFrame, index: Index, pairs: DataFrame, *, near: float, windo
 
 
 def scan(docs: DataFrame, index: Index, at: Thresholds | None = None, *, window_slack: float | None = None, snippet_chars: int = 0, block_grams: int = 500_000) -> DataFrame:
-    """All (item, document) overlaps at or above the thresholds: ``HIT_COLUMNS``.  With an index of at most ``block_grams``
-    n-grams the result does not read the index's tables."""
+    """All (item, document) overlaps at or above the thresholds: ``HIT_COLUMNS``.  With an index of more than ``block_grams``
+    n-grams they are saved round by round.  The result never reads the index's tables."""
     at = at or Thresholds()
-    if index.grams <= block_grams:
-        block = Block(index.entries.collect(), at.partial)
-        texts = spread(docs.where("text is not null").select("doc_key", "doc_id", "text"))
-        kinds = [T.StructField("item_id", T.StringType()), texts.schema["doc_key"], texts.schema["doc_id"], *[T.StructField(c, t) for c, t in zip(HIT_COLUMNS[3:], _HIT_TYPES)]]
+    texts = spread(docs.where("text is not null").select("doc_key", "doc_id", "text"))
+    kinds = [T.StructField("item_id", T.StringType()), texts.schema["doc_key"], texts.schema["doc_id"], *[T.StructField(c, t) for c, t in zip(HIT_COLUMNS[3:], _HIT_TYPES)]]
+
+    def judged(entries: DataFrame) -> DataFrame:
+        block = Block(entries.select("item_ids", "line", "tokens", "size", "total", "short", "grams").toArrow(), at.partial)
         return texts.mapInArrow(_scan_block(block, at, window_slack, snippet_chars), T.StructType(kinds))
-    pairs = save(candidates(docs, index, at.partial), "pairs")
-    index.behind.append(pairs)
-    scored = score(docs, index, pairs.df, near=at.near_duplicate, window_slack=window_slack, snippet_chars=snippet_chars, floor=at.partial)
-    ranked = scored.withColumn("rank", level_rank(F.col("containment"), F.col("exact"), at)).where("rank > 0")
-    return ranked.withColumn("level", level_name(F.col("rank"))).withColumn("item_id", F.explode("item_ids")).select(HIT_COLUMNS)
+
+    if index.grams <= block_grams:
+        return judged(index.entries)
+    rounds = math.ceil(index.grams / ROUND_GRAMS)
+    part = F.pmod(F.xxhash64("entry"), F.lit(rounds))
+    made = [save(judged(index.entries.where(part == r)), "hits") for r in range(rounds)]
+    return docs.sparkSession.read.schema(made[0].schema).parquet(*[s.path for s in made])
 
 
 def scan_stats(docs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def hits_corpus(spark, sf_dir):
 
 
 def hits_corpus_joined(spark, sf_dir):
-    """The same by the joins of a large index, with windows and snippets."""
+    """The same in rounds, as a large index is read, with windows and snippets."""
     index = ct.build_index(items(spark, sf_dir), view=QUESTION, n=2)
     return ct.scan(docs(spark, sf_dir), index, ct.Thresholds(0.3, 0.9), window_slack=1.5, snippet_chars=80, block_grams=0)
 

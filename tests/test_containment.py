@@ -151,3 +151,27 @@ def test_one_pass_and_joins_agree(spark, slack):
         small, large = (ct.scan(docs, index, at, window_slack=slack, snippet_chars=30, block_grams=most) for most in (500_000, 0))
         assert small.dtypes == large.dtypes and sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and small.count() > 20
     assert ct.scan(docs, ct.build_index(items.limit(0), n=3)).count() == 0
+
+
+@pytest.mark.parametrize("slack", [None, 1.5])
+def test_common_phrases_leave_no_table_of_candidates(spark, slack, monkeypatch):
+    """Of texts made of the same phrases nearly all pairs are candidates; only hits are saved, whatever the rounds."""
+    r = random.Random(5)
+    phrases = [f"p{i} q{i} r{i}" for i in range(12)]
+    words = [f"w{i}" for i in range(300)]
+    mixed = lambda k: " ".join(r.choice(phrases) if r.random() < 0.3 else " ".join(r.choices(words, k=3)) for _ in range(k))
+    items = [(f"b:{i}", mixed(6), []) for i in range(120)]
+    docs = [mixed(r.randint(0, 20)) for _ in range(90)] + [items[7][1], "", None, "p1 q1"]
+    rows, real = {}, ct.save
+
+    def save(df, tag):
+        made = real(df, tag)
+        rows.setdefault(tag, []).append(made.rows)
+        return made
+
+    monkeypatch.setattr(ct, "save", save)
+    monkeypatch.setattr(ct, "ROUND_GRAMS", 500, raising=False)
+    at = ct.Thresholds(0.3, 0.9)
+    hits = got(ct.scan(documents(spark, docs), ct.build_index(table(spark, items), n=2), at, window_slack=slack, block_grams=0))
+    assert hits == brute(items, docs, 2, at, slack) and len(hits) > 20
+    assert set(rows) == {"entries", "index", "hits"} and len(rows["hits"]) > 2 and sum(rows["hits"]) == len(hits)
