@@ -114,10 +114,13 @@ def entry_lines(items: DataFrame, view: str, min_tokens: int) -> tuple[DataFrame
     return long, short
 
 
-def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, stop_k: int | None = None, min_tokens: int | None = None) -> Index:
-    """The index of a benchmark; items that cannot be searched are reported, never dropped silently."""
+def build_index(items: DataFrame, *, view: str = QUESTION_CHOICES, n: int = 8, stop_k: int | None = None, min_tokens: int | None = None, only_short: bool = False) -> Index:
+    """The index of a benchmark; items that cannot be searched are reported, never dropped silently.  With ``only_short`` it is
+    of the items of fewer than n tokens alone: as n-grams have sizes, the others change nothing of theirs."""
     least = _check(n, min_tokens, stop_k)
     lines, short = entry_lines(items, view, least)
+    if only_short:
+        lines = lines.where(F.col("tokens") < n)
     size = F.least(F.lit(n), "tokens")
     raw = save(lines.withColumn("size", size).withColumn("entry", F.monotonically_increasing_id()), "entries")
     own = sized_grams("line", "size")

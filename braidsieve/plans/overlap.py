@@ -149,8 +149,8 @@ def exact_match(spark, sf_dir):
 def short_item_hits(spark, sf_dir):
     """Items of fewer than 25 tokens, matched whole, in the questions and choices of all items."""
     texts = items(spark, sf_dir).select("pos", "item_id", view_text(QUESTION_CHOICES).alias("text"))
-    index = ct.build_index(items(spark, sf_dir), view=QUESTION, n=25, min_tokens=2)
-    return ct.scan(corpus(texts, "pos", "item_id"), index, ct.Thresholds()).where("short")
+    index = ct.build_index(items(spark, sf_dir), view=QUESTION, n=25, min_tokens=2, only_short=True)
+    return ct.scan(corpus(texts, "pos", "item_id"), index, ct.Thresholds())
 
 
 def gpt3_flags(spark, sf_dir):

@@ -175,3 +175,27 @@ def test_common_phrases_leave_no_table_of_candidates(spark, slack, monkeypatch):
     hits = got(ct.scan(documents(spark, docs), ct.build_index(table(spark, items), n=2), at, window_slack=slack, block_grams=0))
     assert hits == brute(items, docs, 2, at, slack) and len(hits) > 20
     assert set(rows) == {"entries", "index", "hits"} and len(rows["hits"]) > 2 and sum(rows["hits"]) == len(hits)
+
+
+def test_short_items_alone_are_searched(spark, tmp_path, monkeypatch):
+    """The query of short items holds no longer ones, whose n-grams would fill the driver's memory."""
+    from braidsieve.plans import overlap
+
+    r = random.Random(4)
+    asked = [" ".join(r.choices("abcdefgh", k=r.choice([1, 3, 5, 30, 60]))) for _ in range(60)] + ["A b, c!", "a b c"]
+    items = [(f"b:{i}", q, r.sample(asked, 2) if i % 3 == 0 else []) for i, q in enumerate(asked)]
+    rows = [(i, *row) for i, row in enumerate(items)]
+    spark.createDataFrame(rows, "pos long, item_id string, question string, choices array<string>").write.parquet(f"{tmp_path}/mini_benchmark.parquet")
+    short, real = [], ct.Block
+
+    def block(*of):
+        made = real(*of)
+        short.extend(made.short)
+        return made
+
+    monkeypatch.setattr(ct, "Block", block)
+    hits = got(overlap.short_item_hits(spark, str(tmp_path)))
+    docs = ["\n".join([q, *c]) for _, q, c in items]
+    want = brute([(i, q, []) for i, q, _ in items if len(tokens_of(q)) < 25], docs, 25, ct.Thresholds(), min_tokens=2)
+    assert hits == want and len(hits) > 20
+    assert short and all(short)
