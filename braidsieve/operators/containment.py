@@ -24,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,6 +190,12 @@ def _spread_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+def _groups(amounts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and end of runs of neighbours whose amounts are about ``most`` together; a larger amount is in a run as it is."""
+    at = np.flatnonzero(np.diff((np.cumsum(amounts) - amounts) // most, prepend=-1)).tolist()
+    return zip(at, [*at[1:], len(amounts)])
+
+
 class Block:
     """Entries of an index within a task, as arrays: numbers for their n-grams, the n-grams of every entry, and the entries by
     rare n-gram.
@@ -201,6 +208,7 @@ class Block:
         self.ids, self.lines = of["item_ids"], of["line"]
         self.size, self.length, self.total = (of[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "tokens", "total"))
         self.short = of["short"].to_pylist()
+        self.many = pc.list_value_length(self.ids).to_numpy(zero_copy_only=False).astype(np.int64)
         self.sizes = np.unique(self.size).tolist()
         self.known, gram = np.unique(of["grams"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
         self.gram = gram.astype(np.int32)
@@ -231,10 +239,9 @@ class Block:
         counts = self.rare_first[gram + 1] - starts
         # whole documents, about a million shared n-grams at a time
         heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        group = np.append(0, np.cumsum(counts))[heads] // 1_000_000
-        cuts = heads[np.append(True, group[1:] != group[:-1])].tolist()
         out = []
-        for a, b in zip(cuts, [*cuts[1:], len(own)]):
+        for i, j in _groups(np.add.reduceat(counts, heads), 1_000_000):
+            a, b = heads[i], heads[j] if j < len(heads) else len(own)
             base = int(own[a])
             kind = np.int32 if (int(own[b - 1]) - base + 1) * entries < 2**31 else np.int64
             key = np.repeat(((own[a:b] - base) * entries).astype(kind), counts[a:b])
@@ -279,7 +286,7 @@ def _scan_block(block: Block, at: Thresholds, slack: float | None, snippet_chars
         for batch in batches:
             for part in slices(batch, 2):
                 tokens = [tokens_of(t) for t in part.column(2).to_pylist()]
-                rows, place_of = [], []
+                rows, place_of, entry_of = [], [], []
                 for d, e, m, place, number in block.match(tokens):
                     length, n, total = int(block.length[e]), int(block.size[e]), int(block.total[e])
                     st = int(place[0])
@@ -290,17 +297,22 @@ def _scan_block(block: Block, at: Thresholds, slack: float | None, snippet_chars
                     rank = 3 if exact else 2 if c >= at.near_duplicate else 1 if c >= at.partial else 0
                     if rank:
                         cut = " ".join(tokens[d][st : st + length + 3])[:snippet_chars] if snippet_chars else ""
-                        ids = block.ids[e].as_py()
-                        rows += [(i, LEVELS[rank], c, m, total, n, exact, block.short[e], st, cut) for i in ids]
-                        place_of += [d] * len(ids)
-                item, *rest = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_HIT_KINDS)]
-                docs = part.take(pa.array(place_of, pa.int64()))
-                yield pa.record_batch([item, docs.column(0), docs.column(1), *rest], HIT_COLUMNS)
+                        rows.append((LEVELS[rank], c, m, total, n, exact, block.short[e], st, cut))
+                        place_of.append(d)
+                        entry_of.append(e)
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_HIT_KINDS)]
+                place, entry = np.array(place_of, np.int64), np.array(entry_of, np.int64)
+                many = block.many[entry]
+                # a row for each item of an entry, in batches, as an entry may have many
+                for a, b in _groups(many, 50_000):
+                    of = np.repeat(np.arange(a, b), many[a:b])
+                    docs = part.take(pa.array(place[of]))
+                    yield pa.record_batch([block.ids.take(pa.array(entry[a:b])).flatten(), docs.column(0), docs.column(1), *[c.take(pa.array(of)) for c in columns]], HIT_COLUMNS)
 
     return run
 
 
-_HIT_KINDS = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
+_HIT_KINDS = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.string())
 _HIT_TYPES = (T.StringType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), T.BooleanType(), T.IntegerType(), T.StringType())
 
 

@@ -199,3 +199,16 @@ def test_short_items_alone_are_searched(spark, tmp_path, monkeypatch):
     want = brute([(i, q, []) for i, q, _ in items if len(tokens_of(q)) < 25], docs, 25, ct.Thresholds(), min_tokens=2)
     assert hits == want and len(hits) > 20
     assert short and all(short)
+
+
+def test_hits_of_many_items_of_one_text_come_in_batches(spark):
+    """Hits are kept once for each text and document and become rows of items batch by batch."""
+    import pyarrow as pa
+
+    same = table(spark, [(f"b:{i}", "one two three four", []) for i in range(3_000)] + [("b:other", "two three nine", [])])
+    entries = ct.build_index(same, n=2, min_tokens=2).entries.toArrow()
+    docs = pa.record_batch([pa.array(range(101)), pa.array([f"d{i}" for i in range(101)]), pa.array(["so one two three four"] * 100 + ["two three"])], ["doc_key", "doc_id", "text"])
+    out = list(ct._scan_block(ct.Block(entries, 0.3), ct.Thresholds(0.3, 0.9), 1.5, 80)(iter([docs])))
+    assert sum(b.num_rows for b in out) == 101 * 3_001 and max(b.num_rows for b in out) <= 60_000
+    rows = [r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("item_id", "doc_id", "level", "snippet")))]
+    assert len(set(rows)) == len(rows) and {r[2:] for r in rows if r[0] != "b:other" and r[1] != "d100"} == {("EXACT", "one two three four")}
